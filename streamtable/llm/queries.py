@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from streamtable.llm import bpe
 from streamtable.llm.jaccard_join import jaccard_components
 from streamtable.llm.line_dedup import dedup_lines
+from streamtable.llm.substring_dedup import dedup_passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha256("text").alias("kept_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", sha256("text").alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_vocabulary(), keep=("doc_id",)))
 
@@ -35,6 +41,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe": op6_bpe,
     "op9_jaccard_join": op9_jaccard_join,
 }

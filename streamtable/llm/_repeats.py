@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 
 from streamtable.llm._store import deal
 
-BITS = 1 << 27  # 16 MB: what is broadcast at most
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+BITS = 1 << 28  # 32 MB: what is broadcast at most
+PER = 24  # bits of a filter for each hash, of which one in 8,000 passes wrongly
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 BLOCKS = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
 BLOCKS_DDL = "shard int, once binary, more binary"
 
@@ -103,7 +104,7 @@ def repeats(blocks: DataFrame, shards: int, max_bits: int = BITS) -> Repeats:
                 seen.setdefault(shard, []).append((once, more))
         for shard in sorted(seen):
             rows = seen.pop(shard)
-            once = Bloom(log2_for(sum(len(a) + len(b) for a, b in rows) // 8, 16))
+            once = Bloom(log2_for(sum(len(a) + len(b) for a, b in rows) // 8, PER))
             twice = []
             for a, b in rows:
                 h, sure = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -112,7 +113,7 @@ def repeats(blocks: DataFrame, shards: int, max_bits: int = BITS) -> Repeats:
                 once.add(sure)
             found = np.unique(np.concatenate(twice))
             if len(found):
-                bloom = Bloom(min(most, log2_for(len(found), 12)))
+                bloom = Bloom(min(most, log2_for(len(found), PER)))
                 bloom.add(found)
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "log2": pa.array([bloom.log2], pa.int32()), "words": pa.array([bloom.words.tobytes()], pa.binary())})
 

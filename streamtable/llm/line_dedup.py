@@ -31,7 +31,7 @@ def counts(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "surrogatepass")) >= least)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bits: int = 1 << 27) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bits: int = 1 << 28) -> DataFrame:
     """docs without the lines whose key, of at least min_chars code points, is in a document with a smaller id.
 
     Returns the columns of docs, text_col holding the kept lines joined by "\\n", then n_lines (before) and n_dropped, which

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamtable.llm import bpe
+from streamtable.llm import bpe, toxicity
+from streamtable.llm.decontaminate import contamination
 from streamtable.llm.jaccard_join import jaccard_components
 from streamtable.llm.line_dedup import dedup_lines
 from streamtable.llm.substring_dedup import dedup_passages
@@ -27,6 +28,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha256("text").alias("kept_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
@@ -41,15 +46,26 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_vocabulary(), keep=("doc_id",)))
 
 
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    return toxicity.fit_chain(docs, labels, {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")})
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")), keep=("doc_id",))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe": op6_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
@@ -63,4 +79,11 @@ told as (select l.*, f.keep is not null and l.doc_id > f.keep as gone from lines
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from told group by doc_id""",
+    "op2_decontamination": r"""
+with texts as (select 0 as kind, doc_id as id, text from documents where doc_id is not null union all select 1, item_id, text from benchmark where item_id is not null),
+split as (select kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from texts),
+shingles as (select distinct kind, id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from split),
+items as (select id as item_id, s, count(*) over (partition by id) as n_item from shingles where kind = 1)
+select d.id as doc_id, item_id, n_item, count(*) as n_shared, count(*) / n_item as containment
+from shingles d join items using (s) where kind = 0 group by d.id, item_id, n_item having count(*) / n_item >= 0.8""",
 }

@@ -1,10 +1,10 @@
 """Removal of repeated passages of whole words, located by Aho-Corasick automata.
 
 Windows of consecutive words meet under the hash of their least k-gram (see _spans); Bloom filters keep all but repeated hashes at
-home. A segment is a run of such windows; equal segments are one, with the smallest document id. Grouping the windows of
-segments by 128-bit hashes confirms the recurring ones and the first document of each. They are compiled into automata,
-one or more for each hash, and all segments of documents under that hash stream through these to locate every occurrence. Hashes with
-very many segments are dealt to several tasks, each with the automata.
+home. A segment is a run of such windows; equal segments are one, with the smallest document id. A shard takes the segments of its
+hashes: equal windows of several documents confirm a recurring passage and its first document, the passages of a hash are compiled
+into automata, and all its segments stream through these to locate every occurrence. A hash with very many segments is
+confirmed by grouping windows over all tasks instead, and dealt to several shards, each with its automata.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from streamtable.llm._repeats import BLOCKS_DDL, Blocks, Repeats, repeats, shard
 from streamtable.llm._store import deal, small_batches, stored
 
 GRAM = 16  # words
-SHARE = 20_000  # segments of one hash that go to one task
+SHARE = 20_000  # segments of one hash that a task takes
 LETTERS = 1_000_000  # words of an automaton, each a code point
 PHRASES = 20_000  # phrases of an automaton
 
@@ -43,6 +43,48 @@ def window_hashes(ws: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def confirmed(rows: list[tuple[bytes, int, int]], window: int) -> list[tuple[list[bytes], list[int], list[int]]]:
+    """Of segments (text, smallest and largest document), those that show recurring windows first: their words, the windows' places and first documents."""
+    texts = [r[0].split(b" ") for r in rows]
+    hashes = [window_hashes(x, window) for x in texts]
+    one, two = (np.concatenate([h[k] for h in hashes]) for k in (0, 1))
+    count = [len(h[0]) for h in hashes]
+    seg = np.repeat(np.arange(len(rows)), count)
+    at = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    least, most = (np.array([r[k] for r in rows], np.int64)[seg] for k in (1, 2))
+    order = np.lexsort((seg, two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    first = np.flatnonzero(new)
+    low, high = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+    sure = low < high
+    where, low = order[first[sure]], low[sure]
+    back = np.argsort(where)
+    where, low = where[back], low[back]
+    cut = np.searchsorted(seg[where], np.arange(len(rows) + 1)).tolist()
+    return [(texts[k], at[where[a:b]].tolist(), low[a:b].tolist()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+
+
+def merged(found: list[tuple[int, int]], window: int) -> tuple[list[int], list[int], list[int]]:
+    """Occurrences (first word, first document) as runs: first word, end, first document."""
+    lo, hi, first = [], [], []
+    for i, f in found:
+        if hi and first[-1] == f and i + window == hi[-1] + 1:
+            hi[-1] += 1
+        else:
+            lo.append(i)
+            hi.append(i + window)
+            first.append(f)
+    return lo, hi, first
+
+
+PLACES = "seg binary, lo array<bigint>, hi array<bigint>, first array<bigint>"
+
+
+def places_batch(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["seg", "lo", "hi", "first"])
+
+
 class Automata:
     """Finds phrases of a fixed number of words, each with the first document that has it."""
 
@@ -139,7 +181,39 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from flush()
 
     found = stored(slim.mapInArrow(suspects, "key bigint, seg binary, rep bigint, words binary, least bigint, most bigint, ids array<bigint>, tags array<bigint>, starts array<bigint>"))
-    distinct = stored(found.groupBy("seg").agg(F.first("key").alias("key"), F.first("rep").alias("rep"), F.first("words").alias("words"), F.min("least").alias("least"), F.max("most").alias("most")))
+    many = stored(found.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > SHARE).select("key", F.ceil(F.col("rows") / SHARE).cast("int").alias("k")))
+    any_many = not many.isEmpty()
+
+    def shard(batches):
+        now, group = None, {}
+
+        def done():
+            rows = list(group.values())
+            if not rows or len({r[1] for r in rows} | {r[2] for r in rows}) < 2:
+                return
+            passages = confirmed(rows, window)
+            if not passages:
+                return
+            automata = Automata(window)
+            for p in passages:
+                automata.add(*p)
+            automata.close()
+            out = [(seg, *merged(automata.find(r[0].split(b" ")), window)) for seg, r in group.items()]
+            out = [x for x in out if x[1]]
+            if out:
+                yield places_batch(out)
+
+        for batch in batches:
+            for key, seg, text, least, most in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if key != now:
+                    yield from done()
+                    now, group = key, {}
+                held = group.get(seg)
+                group[seg] = (text, min(least, held[1]), max(most, held[2])) if held else (text, least, most)
+        yield from done()
+
+    usual = found.join(F.broadcast(many), "key", "left_anti") if any_many else found
+    places = usual.select("key", "seg", "words", "least", "most").repartition(deal(spark), "key").sortWithinPartitions("key").mapInArrow(shard, PLACES)
 
     def windows(batches):
         for batch in batches:
@@ -151,9 +225,6 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["one", "two", "least", "most", "rep"])
 
-    sure = distinct.select("rep", "words", "least", "most").mapInArrow(windows, "one bigint, two bigint, least bigint, most bigint, rep bigint").groupBy("one", "two").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("rep").alias("rep")).where("least < most")
-    by_rep = sure.groupBy("rep").agg(F.collect_list(F.struct("one", "two", "least")).alias("sure"))
-
     def phrases(batches):
         for batch in batches:
             rows = []
@@ -165,14 +236,6 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["key", "words", "at", "firsts"])
 
-    passages = stored(distinct.join(by_rep, "rep").select("key", "words", "sure").mapInArrow(phrases, "key bigint, words binary, at array<int>, firsts array<bigint>"))
-    often = distinct.groupBy("key").agg(F.ceil(F.count("*") / F.lit(SHARE)).cast("int").alias("k"))
-    many = often.where("k > 1")
-    shares = F.coalesce("k", F.lit(1))
-    patterns = passages.join(many, "key", "left").select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("seg"), "words", "at", "firsts")
-    streamed = distinct.join(passages.select("key").distinct(), "key", "left_semi").join(many, "key", "left").select("key", F.pmod(F.xxhash64("seg"), shares.cast("bigint")).cast("int").alias("share"), F.lit(1).alias("kind"), "seg", "words", F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<bigint>").alias("firsts"))
-    dealt = patterns.unionByName(streamed).repartition(deal(spark), "key", "share").sortWithinPartitions("key", "share", "kind")
-
     def locate(batches):
         now, automata = None, None
         for batch in batches:
@@ -184,20 +247,20 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     automata.add(text.split(b" "), at, firsts)
                     continue
                 automata.close()
-                lo, hi, first = [], [], []
-                for i, f in automata.find(text.split(b" ")):
-                    if hi and first[-1] == f and i + window == hi[-1] + 1:
-                        hi[-1] += 1
-                    else:
-                        lo.append(i)
-                        hi.append(i + window)
-                        first.append(f)
+                lo, hi, first = merged(automata.find(text.split(b" ")), window)
                 if lo:
                     out.append((seg, lo, hi, first))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["seg", "lo", "hi", "first"])
-
-    places = dealt.mapInArrow(locate, "seg binary, lo array<bigint>, hi array<bigint>, first array<bigint>")
+                yield places_batch(out)
+
+    if any_many:
+        distinct = stored(found.join(F.broadcast(many), "key", "left_semi").groupBy("seg").agg(F.first("key").alias("key"), F.first("rep").alias("rep"), F.first("words").alias("words"), F.min("least").alias("least"), F.max("most").alias("most")))
+        sure = distinct.select("rep", "words", "least", "most").mapInArrow(windows, "one bigint, two bigint, least bigint, most bigint, rep bigint").groupBy("one", "two").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("rep").alias("rep")).where("least < most")
+        by_rep = sure.groupBy("rep").agg(F.collect_list(F.struct("one", "two", "least")).alias("sure"))
+        passages = stored(distinct.join(by_rep, "rep").select("key", "words", "sure").mapInArrow(phrases, "key bigint, words binary, at array<int>, firsts array<bigint>"))
+        patterns = passages.join(F.broadcast(many), "key").select("key", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("seg"), "words", "at", "firsts")
+        streamed = distinct.join(F.broadcast(many), "key").select("key", F.pmod(F.xxhash64("seg"), F.col("k").cast("bigint")).cast("int").alias("share"), F.lit(1).alias("kind"), "seg", "words", F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<bigint>").alias("firsts"))
+        places = places.unionByName(patterns.unionByName(streamed).repartition(deal(spark), "key", "share").sortWithinPartitions("key", "share", "kind").mapInArrow(locate, PLACES))
     where = found.select("seg", F.explode(F.arrays_zip("ids", "tags", "starts")).alias("o")).join(places, "seg").select(F.col("o.ids").alias("id"), F.col("o.tags").alias("tag"), F.col("o.starts").alias("start"), F.explode(F.arrays_zip("lo", "hi", "first")).alias("p"))
     gone = where.where("p.first < id").select("id", "tag", (F.col("start") + F.col("p.lo")).alias("lo"), (F.col("start") + F.col("p.hi")).alias("hi"))
     keep = [k for k, c in enumerate(docs.columns) if c not in ("n_words", "n_removed")]

@@ -11,6 +11,7 @@ from streamtable.llm import bpe, toxicity
 from streamtable.llm.decontaminate import contamination
 from streamtable.llm.jaccard_join import jaccard_components
 from streamtable.llm.line_dedup import dedup_lines
+from streamtable.llm.neighbours import nearest
 from streamtable.llm.substring_dedup import dedup_passages
 from streamtable.llm.suffix_dedup import dedup_bytes
 
@@ -46,6 +47,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_vocabulary(), keep=("doc_id",)))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
     return toxicity.fit_chain(docs, labels, {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")})
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe": op6_bpe,
+    "op7_neighbours": op7_neighbours,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
 }

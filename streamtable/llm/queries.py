@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from streamtable.llm import bpe, toxicity
 from streamtable.llm.decontaminate import contamination
+from streamtable.llm.html_extract import extract
 from streamtable.llm.jaccard_join import jaccard_components
 from streamtable.llm.line_dedup import dedup_lines
 from streamtable.llm.neighbours import nearest
@@ -64,6 +65,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_neighbours": op7_neighbours,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamtable.llm import bpe, toxicity
+from streamtable.llm import bpe, lm_score, toxicity
 from streamtable.llm.decontaminate import contamination
 from streamtable.llm.html_extract import extract
 from streamtable.llm.jaccard_join import jaccard_components
@@ -44,6 +44,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", sha256("text").alias("kept_sha256"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), keep=("doc_id",))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_vocabulary(), keep=("doc_id",)))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_bpe": op6_bpe,
     "op7_neighbours": op7_neighbours,
     "op8_toxicity": op8_toxicity,

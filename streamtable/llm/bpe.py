@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import sys
@@ -156,17 +157,20 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
     return given.mapInArrow(run, schema).toDF(*names, "ids", "decoded")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 of encode_decode()'s rows."""
-    import hashlib
+def digests(encoded: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids if asked for, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 of encode_decode()'s rows."""
+    middle = ["ids"] if with_ids else []
 
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
             flat, offs = np.asarray(lists.values, dtype="<u4"), np.asarray(lists.offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs).astype(np.int64)), pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)]), pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in batch.column(2).to_pylist()])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(np.diff(offs).astype(np.int64)), *([lists] if with_ids else []), pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.string()),
+                pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in batch.column(2).to_pylist()], pa.string())], names=["doc_id", "n_tokens", *middle, "ids_sha256", "decoded_sha256"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), "ids", "decoded").mapInArrow(run, StructType([StructField("doc_id", encoded.schema[id_col].dataType), *StructType.fromDDL("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields]))
+    schema = StructType([StructField("doc_id", encoded.schema[id_col].dataType), *StructType.fromDDL(", ".join(["n_tokens bigint", *(f"{m} array<int>" for m in middle), "ids_sha256 string", "decoded_sha256 string"])).fields])
+    return encoded.select(F.col(id_col).alias("doc_id"), "ids", "decoded").mapInArrow(run, schema)
 
 
 def default_vocabulary() -> str:

@@ -1,21 +1,8 @@
-"""The queries that show each transform at work, and the SQL that states the same."""
+"""All queries of the library, by name, and the SQL that states the same."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from streamtable.plans import analytic_queries, core_queries, io_queries, join_queries, stream_queries, window_queries  # noqa: F401  they register themselves
+from streamtable.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"wordcount": wordcount}
-ORACLE_SQL: dict[str, str] = {"wordcount": "select word, count(*) as n from (select unnest(string_split(text, ' ')) as word from documents) where word <> '' group by word"}
+__all__ = ["ORACLE_SQL", "QUERIES"]

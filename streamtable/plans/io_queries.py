@@ -1,0 +1,119 @@
+"""Tables, files, splittable sources, jobs and metrics."""
+
+from __future__ import annotations
+
+import re
+import time
+
+from pyspark.sql import functions as F
+
+from streamtable.operators import core, grouping
+from streamtable.plans.registry import query
+from streamtable.sources import managed
+from streamtable.sources.ranges import OffsetSource
+from streamtable.sources.scratch import scratch
+from streamtable.sources.tables import Tables
+
+
+@query("select n_nationkey, n_name from nation union all select n_nationkey, n_name from nation where n_regionkey = 1")
+def collection_write_scan(t, spark):
+    tables = Tables(spark)
+    nations = t("nation").select("n_nationkey", "n_name")
+    tables.write("nations", nations)
+    tables.write("nations", t("nation").where("n_regionkey = 1").select("n_nationkey", "n_name"))
+    return tables.scan("nations")
+
+
+@query("select n_regionkey, count(*) as n from nation group by 1")
+def materialized_view(t, spark):
+    tables = Tables(spark)
+    tables.write("nations_by_region", grouping.count_per_element(t("nation").select("n_regionkey"), "n_regionkey"))
+    tables.view("nations_by_region")
+    return spark.sql("select * from nations_by_region")
+
+
+@query("select strftime(time_bucket(interval 7 days, ts, timestamp '1970-01-01'), '%Y-%m-%dT%H-%M-%S') as window_start, event_type, count(*) as n from events group by 1, 2")
+def write_files_windowed(t, spark):
+    path = scratch(spark, "files")
+    managed.write_files(t("events"), path, window=F.window("ts", "7 days"), shards=4)
+    return managed.read(spark, "parquet", {"path": path}).groupBy(F.date_format("window_start", "yyyy-MM-dd'T'HH-mm-ss").alias("window_start") if dict(managed.read(spark, "parquet", {"path": path}).dtypes)["window_start"] != "string" else "window_start", "event_type").agg(F.count("*").alias("n"))
+
+
+def _managed(form):
+    @query("select c_custkey, c_name from customer", f"managed_{form}")
+    def run(t, spark):
+        path = scratch(spark, form)
+        rows = t("customer").select("c_custkey", "c_name")
+        managed.write(rows, form, {"path": path})
+        return managed.read(spark, form, {"path": path, "schema": "c_custkey bigint, c_name string"})
+
+
+for _f in ("parquet", "csv", "json", "orc"):
+    _managed(_f)
+
+
+@query("select n_name as value from nation")
+def managed_text(t, spark):
+    path = scratch(spark, "text")
+    managed.write(t("nation").select("n_name"), "text", {"path": path})
+    return managed.read(spark, "text", {"path": path})
+
+
+@query("select i as id, 'element ' || i as value from range(1000) r(i)")
+def splittable_source(t, spark):
+    spark.dataSource.register(OffsetSource)
+    return spark.read.format("offsets").options(stop=1000, splits=8).load()
+
+
+@query("select i as id, 'element ' || i as value from range(250) r(i)")
+def splittable_source_stream(t, spark):
+    spark.dataSource.register(OffsetSource)
+    path, place = scratch(spark, "out"), scratch(spark, "checkpoint")
+    q = spark.readStream.format("offsets").options(stop=250, step=100).load().writeStream.format("parquet").option("checkpointLocation", place).start(path)
+    for _ in range(120):  # a drain: stop once the range is read
+        done = q.lastProgress and reached(q.lastProgress) >= 250
+        if done or not q.isActive:
+            break
+        time.sleep(0.25)
+    q.stop()
+    return spark.read.schema("id bigint, value string").parquet(path)
+
+
+def reached(progress) -> int:
+    """The position in a progress report, whose offsets are text."""
+    return max(map(int, re.findall(r"\d+", str(progress["sources"][0]["endOffset"]))), default=0)
+
+
+@query("select l_orderkey, l_quantity from lineitem where l_quantity > 49 and l_shipdate >= timestamp '1998-01-01'")
+def scan_pushdown(t, spark):
+    return t("lineitem").where("l_quantity > 49 and l_shipdate >= timestamp_ntz'1998-01-01'").select("l_orderkey", "l_quantity")
+
+
+@query("select o_orderstatus as status, count(*) as n from orders group by 1")
+def job_pipeline(t, spark):
+    from streamtable.plans.pipeline import Pipeline
+
+    p = Pipeline("orders by status")
+    p.step("read", "beam:transform:read:v1", lambda: t("orders"))
+    p.step("status", "beam:transform:pardo:v1", lambda df: df.select(F.col("o_orderstatus").alias("status")), "read")
+    p.step("count", "beam:transform:combine_per_key:v1", lambda df: grouping.count_per_element(df, "status"), "status")
+    return p.collection("count")
+
+
+@query("select count(*) as elements, sum(case when value > 50 then 1 else 0 end)::bigint as large, round(min(value), 4) as least, round(max(value), 4) as most from events")
+def job_metrics(t, spark):
+    from streamtable.plans.metrics import Metrics
+
+    m = Metrics("events", elements=Metrics.counter(), large=Metrics.counter(F.col("value") > 50), value=Metrics.distribution("value"))
+    m.observe(t("events")).write.format("noop").mode("overwrite").save()
+    got = m.get()
+    return core.create(spark, [(got["elements"], got["large"], round(got["value"]["min"], 4), round(got["value"]["max"], 4))], "elements bigint, large bigint, least double, most double")
+
+
+@query("select c_custkey as key, upper(hex(encode(c_name))) as name_hex from customer")
+def codec_bytes(t, spark):
+    from streamtable.functions.codecs import decode_column, encode_column
+
+    kv = t("customer").select("c_custkey", "c_name")
+    coded = kv.select(encode_column("varint", "c_custkey").alias("k"), encode_column("string_utf8", "c_name").alias("v"))
+    return coded.select(decode_column("varint", "k", "bigint").alias("key"), F.hex(decode_column("string_utf8", "v", "string")).alias("name_hex"))

@@ -8,28 +8,30 @@ from streamtable.operators import windows
 from streamtable.operators.windows import CalendarWindows, FixedWindows, GlobalWindow, Sessions, SlidingWindows
 from streamtable.plans.registry import query
 
-N = (F.count("*").alias("n"),)
+
+def count_all():
+    return F.count("*").alias("n")
 
 
 @query("select event_type, count(*) as n from events group by 1")
 def window_global(t, spark):
-    return windows.group_windowed(t("events"), GlobalWindow(), "ts", ["event_type"], *N)
+    return windows.group_windowed(t("events"), GlobalWindow(), "ts", ["event_type"], count_all())
 
 
 @query("select *, window_start + interval 1 hour as window_end from (select event_type, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') as window_start, count(*) as n from events group by 1, 2)")
 def window_fixed(t, spark):
-    return windows.group_windowed(t("events"), FixedWindows("1 hour"), "ts", ["event_type"], *N)
+    return windows.group_windowed(t("events"), FixedWindows("1 hour"), "ts", ["event_type"], count_all())
 
 
 @query("select *, window_start + interval 1 hour as window_end from (select time_bucket(interval 1 hour, ts, timestamp '1970-01-01 00:15:00') as window_start, count(*) as n from events group by 1)")
 def window_fixed_offset(t, spark):
-    return windows.group_windowed(t("events"), FixedWindows("1 hour", "15 minutes"), "ts", [], *N)
+    return windows.group_windowed(t("events"), FixedWindows("1 hour", "15 minutes"), "ts", [], count_all())
 
 
 @query("""select w as window_start, w + interval 3 hours as window_end, count(*) as n from
     (select ts, time_bucket(interval 2 hours, ts, timestamp '1970-01-01') - to_hours(2 * k) as w from events, range(2) r(k)) where w + interval 3 hours > ts group by 1, 2""")
 def window_sliding(t, spark):
-    return windows.group_windowed(t("events"), SlidingWindows("3 hours", "2 hours"), "ts", [], *N)
+    return windows.group_windowed(t("events"), SlidingWindows("3 hours", "2 hours"), "ts", [], count_all())
 
 
 _SESSIONS = """with marked as (select *, case when ts {op} lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minutes then 0 else 1 end as fresh from events),
@@ -39,17 +41,17 @@ _SESSIONS = """with marked as (select *, case when ts {op} lag(ts) over (partiti
 
 @query(_SESSIONS.format(op="<="))
 def window_session(t, spark):
-    return windows.group_windowed(t("events"), Sessions("30 minutes"), "ts", ["user_id"], *N)
+    return windows.group_windowed(t("events"), Sessions("30 minutes"), "ts", ["user_id"], count_all())
 
 
 @query(_SESSIONS.format(op="<"))
 def window_session_strict(t, spark):
-    return windows.group_windowed(t("events"), Sessions("30 minutes", strict=True), "ts", ["user_id"], *N)
+    return windows.group_windowed(t("events"), Sessions("30 minutes", strict=True), "ts", ["user_id"], count_all())
 
 
 @query("select *, window_start + interval 1 month as window_end from (select date_trunc('month', ts)::timestamp as window_start, count(*) as n from events group by 1)")
 def window_calendar(t, spark):
-    out = windows.group_windowed(t("events"), CalendarWindows("month"), "ts", [], *N)
+    out = windows.group_windowed(t("events"), CalendarWindows("month"), "ts", [], count_all())
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n")
 
 
@@ -60,7 +62,7 @@ def window_custom(t, spark):
     whole = F.struct(day.alias("start"), (day + F.expr("interval 1 day")).alias("end"))
     morning = F.struct(day.alias("start"), (day + F.expr("interval 12 hours")).alias("end"))
     out = windows.custom_windows(t("events"), F.when(F.hour("ts") < 12, F.array(whole, morning)).otherwise(F.array(whole)))
-    return out.groupBy("window").agg(*N).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
+    return out.groupBy("window").agg(count_all()).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
 
 
 @query("select *, window_start + interval 1 day as window_end from (select event_type, time_bucket(interval 1 day, ts, timestamp '1970-01-01') as window_start, list_sort(list(event_id)) as ids from events group by 1, 2)")

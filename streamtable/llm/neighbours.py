@@ -9,7 +9,6 @@ Shards return their nearest; the nearest of all are the result.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -23,8 +22,8 @@ from streamtable.llm._store import deal, stored
 DIMENSIONS = 8
 SURE = 0.97
 LEAF = 64
-SHARD_ROWS = 50_000  # vectors of a kd-tree
-QUERY_ROWS = 2_000  # queries of a block
+SHARD_ROWS = 25_000  # vectors of a kd-tree
+QUERY_ROWS = 1_024  # queries of a block
 
 
 def chi_square(x: np.ndarray, k: int) -> np.ndarray:
@@ -61,62 +60,50 @@ class KdTree:
                 self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], mid)]
                 stack += [(a, a + mid, me, 0), (a + mid, b, me, 1)]
 
-    def leaves(self, q: np.ndarray):
-        """(lower bound of the squared distance of all that is to come, points) leaf by leaf, nearest box first."""
-
-        def bound(i: int) -> float:
-            low, high = self.nodes[i][:2]
-            d = np.maximum(np.maximum(low - q, q - high), 0)
-            return float(d @ d)
-
-        queue = [(bound(0), 0)]
-        while queue:
-            d, i = heapq.heappop(queue)
-            _, _, a, b, left, right = self.nodes[i]
-            if left is None:
-                yield d, self.order[a:b]
-            else:
-                heapq.heappush(queue, (bound(left), left))
-                heapq.heappush(queue, (bound(right), right))
-
-
-def search(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, projected: np.ndarray, k: int, sure: float) -> list[tuple[float, int]]:
-    """(cosine, id) of about the k nearest to a unit query, the query's own id left out: projected neighbours in rising order, verified until the test holds."""
-    dims = projected.shape[0]
-    best: list[tuple[float, int]] = []  # a heap of (cosine, -id)
-    waiting: list[tuple[float, int]] = []
-    verified = 0
-
-    def drain(up_to: float) -> bool:
-        """Verifies what is waiting within the bound; whether the test holds."""
-        nonlocal verified
-        while waiting and waiting[0][0] <= up_to:
-            batch = []
-            while waiting and waiting[0][0] <= up_to and len(batch) < 16:
-                d, row = heapq.heappop(waiting)
-                batch.append(row)
-            for row, c in zip(batch, (vectors[batch] @ query).tolist(), strict=True):
-                if ids[row] != own:
-                    item = (c, -int(ids[row]))
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-            if len(best) == k:
-                far = 2 - 2 * best[0][0]  # the squared distance of the k-th
-                if far <= 1e-12 or float(chi_square(d / far, dims)) >= sure:
-                    return far > 1e-12 or not waiting or d > 1e-9
-        return False
-
-    for bound, rows in tree.leaves(projected):
-        if drain(bound):
-            break
-        delta = tree.points[rows] - projected
-        for d, row in zip(np.einsum("ij,ij->i", delta, delta).tolist(), rows.tolist(), strict=True):
-            heapq.heappush(waiting, (d, row))
-    else:
-        drain(math.inf)
-    return [(c, -i) for c, i in best]
+    def leaves(self):
+        """Low and high corners of the leaves' boxes, and where their points begin and end in order."""
+        leaves = [x for x in self.nodes if x[4] is None]
+        return tuple(np.array([x[k] for x in leaves]) for k in range(4))
+
+
+def search(tree: KdTree, leaves: tuple, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, projected: np.ndarray, k: int, sure: float) -> np.ndarray:
+    """Rows of about the k nearest to a unit query, the query's own id left out: projected neighbours in rising order, verified until the test holds.
+
+    Leaves are opened by the distance of their boxes, more of them each time; points nearer than any unopened box are next in
+    order and are verified batch by batch.
+    """
+    low, high, begin, end = leaves
+    gap = np.maximum(np.maximum(low - projected, projected - high), 0)
+    bound = np.einsum("ij,ij->i", gap, gap)
+    by = np.argsort(bound, kind="stable")
+    rows, cosines = np.zeros(0, np.int64), np.zeros(0)
+    wait_d, wait_row = np.zeros(0), np.zeros(0, np.int64)
+    opened, dims = 0, len(projected)
+    while opened < len(by) or len(wait_d):
+        step = by[opened : opened + max(8, opened)]
+        opened += len(step)
+        if len(step):
+            fresh = np.concatenate([tree.order[a:b] for a, b in zip(begin[step].tolist(), end[step].tolist(), strict=True)])
+            delta = tree.points[fresh] - projected
+            wait_d, wait_row = np.concatenate([wait_d, np.einsum("ij,ij->i", delta, delta)]), np.concatenate([wait_row, fresh])
+            order = np.argsort(wait_d, kind="stable")
+            wait_d, wait_row = wait_d[order], wait_row[order]
+        ready = len(wait_d) if opened >= len(by) else int(np.searchsorted(wait_d, bound[by[opened]], "right"))
+        at, size = 0, 64
+        while at < ready:
+            batch = wait_row[at : min(at + size, ready)]
+            far = wait_d[min(at + size, ready) - 1]
+            at, size = at + len(batch), 2 * size
+            batch = batch[ids[batch] != own]
+            rows, cosines = np.concatenate([rows, batch]), np.concatenate([cosines, vectors[batch] @ query])
+            best = np.lexsort((ids[rows], -cosines))[:k]
+            rows, cosines = rows[best], cosines[best]
+            if len(rows) == k:
+                reach = 2 - 2 * cosines[-1]  # the squared distance of the k-th
+                if float(chi_square(far / max(reach, 1e-12), dims)) >= sure and far > 1e-9:
+                    return rows
+        wait_d, wait_row = wait_d[ready:], wait_row[ready:]
+    return rows
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, dims: int = DIMENSIONS, sure: float = SURE) -> DataFrame:
@@ -132,7 +119,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     good = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     good = stored(good.dropDuplicates(["id", "v"]))
     n = max(good.count(), 1)
-    shards = max(1, math.ceil(n / SHARD_ROWS), min(deal(spark), math.ceil(n / 5_000)))
+    shards = math.ceil(n / SHARD_ROWS)
     rows = good.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
     asked = good.where(F.col("id") % every == 0)
     blocks = max(1, math.ceil(n / every / QUERY_ROWS))
@@ -162,13 +149,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
                     toward = projection(unit.shape[1], dims)
                     own_ids, tree = np.array(ids), KdTree(unit @ toward)
+                    leaves = tree.leaves()
                 q = x / np.abs(x).max()
                 q = q / math.sqrt(q @ q)
-                found = search(tree, unit, own_ids, q, i, q @ toward, k, sure)
-                place = {int(r): None for _, r in found}
-                index = {int(own_ids[r]): r for r in np.flatnonzero(np.isin(own_ids, list(place)))}
-                for _, r in found:
-                    y = held[index[r]]
+                for row in search(tree, leaves, unit, own_ids, q, i, q @ toward, k, sure).tolist():
+                    r, y = int(own_ids[row]), held[row]
                     s, t = float(np.abs(x).max()), float(np.abs(y).max())
                     x1, y1 = (x, y) if 1e-100 < s < 1e100 and 1e-100 < t < 1e100 else (x / s, y / t)
                     out.append((i, r, float(x1 @ y1) / (math.sqrt(float(x1 @ x1)) * math.sqrt(float(y1 @ y1)))))

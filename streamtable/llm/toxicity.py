@@ -24,9 +24,9 @@ FOLDS = 5
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed features of a whole text: its distinct lower-cased words, and the first five letters of each longer word."""
+    """Hashed features of a whole text: its distinct lower-cased words, and the first four and five letters of each longer word."""
     words = set(WORD.findall((text or "").lower()))
-    words |= {w[:5] + "*" for w in words if len(w) > 5}
+    words |= {w[:k] + "*" for w in words for k in (4, 5) if len(w) > k}
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) & ((1 << BITS) - 1) for w in words), np.int64, len(words)).astype(np.int32)) if words else np.zeros(0, np.int32)
 
 
@@ -48,6 +48,8 @@ def fit(x: Rows, more: np.ndarray, y: np.ndarray, size: int, rounds: int = 150,
     """Weights of a logistic model with an L1 penalty: size for features, then those of the columns of more, then the bias. Proximal gradient with momentum; each feature's step follows its frequency, up to a bound."""
     n, k = x.n, more.shape[1]
     w = np.zeros(size + k + 1)
+    if not n:
+        return w
     count = np.bincount(x.index, minlength=size)
     scale = np.concatenate([1 / np.sqrt(np.maximum(count / n, 20 / n)), np.full(k + 1, 1.0)])
     ahead, before, step = w.copy(), w.copy(), None

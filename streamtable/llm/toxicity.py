@@ -96,9 +96,12 @@ class Chain:
 
 def train(rows: list[np.ndarray], labels: dict[str, np.ndarray], least: int = 5) -> Chain:
     """The chain over labels in their order. Features in fewer than least rows are left out."""
-    size = 1 << BITS
-    count = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=size)
-    rows = [r[count[r] >= least] for r in rows]
+    count = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=1 << BITS)
+    used = np.flatnonzero(count >= least)
+    size, place = len(used), np.full(1 << BITS, -1)
+    place[used] = np.arange(size)
+    rows = [place[r] for r in rows]
+    rows = [r[r >= 0] for r in rows]
     fold = np.arange(len(rows)) % FOLDS
     x, seen = Rows(rows), np.zeros((len(rows), 0))
     weights, thresholds = [], []
@@ -112,14 +115,17 @@ def train(rows: list[np.ndarray], labels: dict[str, np.ndarray], least: int = 5)
             w = fit(Rows([rows[i] for i in inside]), logit(seen[inside]), y[inside], size)
             o = Rows([rows[i] for i in outside])
             out[outside] = 1 / (1 + np.exp(-(o.dot(w[:size]) + logit(seen[outside]) @ w[size:-1] + w[-1])))
-        weights.append(fit(x, logit(seen), y, size))
-        # the out-of-fold threshold with the fewest errors, in the middle of the gap that it stands in
+        w = fit(x, logit(seen), y, size)
+        whole = np.zeros((1 << BITS) + len(w) - size)
+        whole[used], whole[1 << BITS :] = w[:size], w[size:]
+        weights.append(whole)
+        # the out-of-fold threshold with the fewest errors, in the middle of where it may stand
         order = np.argsort(out)
         p, t = out[order], y[order]
-        errors = np.concatenate([[0], np.cumsum(t)]) + (np.concatenate([[0], np.cumsum(1 - t)])[-1] - np.concatenate([[0], np.cumsum(1 - t)]))
+        missed, wrong = np.concatenate([[0], np.cumsum(t)]), np.concatenate([[0], np.cumsum(1 - t)])
+        errors = missed + wrong[-1] - wrong
         edge = np.concatenate([[0.0], (p[:-1] + p[1:]) / 2, [1.0]]) if len(p) else np.array([0.5])
-        best = np.flatnonzero(errors == errors.min())
-        thresholds.append(float(np.clip(np.median(edge[best]), 0.05, 0.95)))
+        thresholds.append(float(np.clip(np.median(edge[errors == errors.min()]), 0.05, 0.95)))
         seen = np.column_stack([seen, out])
     return Chain(list(labels), weights, thresholds)
 

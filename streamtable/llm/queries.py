@@ -103,4 +103,24 @@ shingles as (select distinct kind, id, unnest(case when len(w) >= 5 then list_tr
 items as (select id as item_id, s, count(*) over (partition by id) as n_item from shingles where kind = 1)
 select d.id as doc_id, item_id, n_item, count(*) as n_shared, count(*) / n_item as containment
 from shingles d join items using (s) where kind = 0 group by d.id, item_id, n_item having count(*) / n_item >= 0.8""",
+    "op4_substring_dedup": r"""
+with docs as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from docs)),
+told as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as first from windows) where first < doc_id),
+gone as (select distinct doc_id, i + k as at from told, range(50) r(k)),
+words as (select doc_id, i as at, w[i] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from docs)),
+kept as (select w.doc_id, count(*) as n_words, count(g.at) as n_removed, string_agg(word, ' ' order by w.at) filter (g.at is null) as kept from words w left join gone g on w.doc_id = g.doc_id and w.at = g.at group by w.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs d left join kept k on d.doc_id = k.doc_id""",
+    "op9_jaccard_join": r"""
+with recursive docs as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+shingles as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from docs),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join sizes m on a.doc_id = m.doc_id join shingles b on a.s = b.s join sizes n on b.doc_id = n.doc_id where a.doc_id < b.doc_id and 100 * least(m.n, n.n) >= 90 * greatest(m.n, n.n) group by 1, 2),
+links as (select x, y from pairs join sizes a on x = a.doc_id join sizes b on y = b.doc_id where 100 * c >= 90 * (a.n + b.n - c)),
+ways as (select x, y from links union all select y, x from links),
+same as (select doc_id, min(doc_id) over (partition by whole) as class_id from (select doc_id, string_agg(s, chr(0) order by s) as whole from shingles group by doc_id)),
+reach as (select x, y from ways union select r.x, b.y from reach r join ways b on r.y = b.x)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce((select min(y) from reach r where r.x = d.doc_id), d.doc_id)) as component_id,
+  coalesce(class_id, d.doc_id) as class_id
+from docs d left join sizes z on d.doc_id = z.doc_id left join same c on d.doc_id = c.doc_id""",
 }

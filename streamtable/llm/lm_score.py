@@ -23,7 +23,7 @@ FREQUENT = 96  # classes of single buckets
 CLASSES = 128
 SIDE = 2  # words seen on either side
 WIDTH, HIDDEN = 12, 32
-SHARE = 32  # one position in so many is trained on in a round
+SHARE = 16  # one position in so many is trained on in a round
 ROUNDS = 2
 EDGE = CLASSES  # the class of what lies outside the document
 GROUPS = 16  # of tasks whose parameters are averaged before they are averaged with others

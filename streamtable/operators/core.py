@@ -82,3 +82,9 @@ def reshuffle(df: DataFrame, n: int) -> DataFrame:
 
 def redistribute_by_key(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
+
+
+def time_sorted(df: DataFrame, do: Callable[[Iterator], Iterator], schema: str | StructType, keys: list[str], *order: str) -> DataFrame:
+    """Opaque code that sees all elements of a key one after the other, in an order; keys follow each other within a bundle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(do, schema)

@@ -61,3 +61,12 @@ def timestamped(df: DataFrame, attribute: str, delay: str, id_attribute: str | N
         df = df.withColumn(attribute, F.timestamp_millis(attribute))
     df = df.withWatermark(attribute, delay)
     return df.dropDuplicatesWithinWatermark([id_attribute]) if id_attribute else df
+
+
+def write_by_destination(df: DataFrame, destination: str, folder: str, form: str = "parquet", mode: str = "append") -> None:
+    """Each row goes to the folder of its own destination, in one pass over df. For a stream, to be called for each micro-batch."""
+    df.withColumn("_to", F.col(destination)).write.format(form).mode(mode).partitionBy("_to").save(folder)
+
+
+def read_destination(spark: SparkSession, name: str, folder: str, form: str = "parquet") -> DataFrame:
+    return spark.read.format(form).load(folder).where(F.col("_to") == name).drop("_to")

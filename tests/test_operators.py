@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from streamtable.functions import types as ty
 from streamtable.operators import core, grouping, joins, windows
+from streamtable.plans.expansion import discover, expand
 from streamtable.plans.metrics import Metrics
 from streamtable.plans.pipeline import Job, Pipeline, State
 from streamtable.sources import managed
@@ -205,3 +206,12 @@ def test_types_there_and_back(spark):
     assert df.select(ty.fits(F.col("v"), "var_char", 3)).count() == 2
     with pytest.raises(Exception, match="doesn't fit"):
         df.select(ty.fits(F.col("v"), "fixed_char", 2)).collect()
+
+
+def test_expansion_checks_its_configuration(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    got = sorted((r.k, r.v) for r in expand("streamtable:top:v1", {"keys": ["k"], "order": "v", "n": 1}, df).collect())
+    assert got == [("a", 2), ("b", 3)] and discover()["streamtable:combine:v1"] == {"keys": "list", "combiner": "str", "value": "str?", "name": "str?"}
+    for urn, config, error in (("nothing", {}, ValueError), ("streamtable:top:v1", {"keys": ["k"]}, ValueError), ("streamtable:filter:v1", {"predicate": 1}, TypeError), ("streamtable:flatten:v1", {"x": 1}, ValueError)):
+        with pytest.raises(error):
+            expand(urn, config, df)

@@ -134,7 +134,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
     if len(spec) > VOCABULARY_BYTES:
         raise ValueError(f"a vocabulary of over {VOCABULARY_BYTES} bytes isn't broadcast")
     shared = spark.sparkContext.broadcast(spec)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "decoded")]
 
     def run(batches):
         kept = sys.modules.setdefault("_streamtable_bpe", types.ModuleType("_streamtable_bpe")).__dict__  # lasts as long as the Python worker

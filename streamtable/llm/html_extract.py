@@ -365,7 +365,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: _boosting.Trees | N
     small_batches(spark)
     model = model or train()
     shared = spark.sparkContext.broadcast((model.edges, model.base, model.feature, model.cut, model.value))
-    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    keep = [c for c in pages.columns if c != html_col and c.lower() not in ("text", "n_chars")]
 
     def run(batches):
         own = _boosting.Trees(*shared.value)

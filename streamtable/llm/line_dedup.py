@@ -83,7 +83,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = found.where("size(docs) > 0").select("h", "docs").join(sure, "h").select("h", "keep", F.explode("docs").alias("id")).where("id > keep").groupBy("id").agg(F.collect_set("h").alias("drop"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), F.col(id_col).cast("bigint").alias("own"))
     at = docs.columns.index(text_col)
-    keep = [k for k, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")]
+    keep = [k for k, c in enumerate(docs.columns) if c.lower() not in ("n_lines", "n_dropped")]
 
     def cut(batches):
         for batch in batches:

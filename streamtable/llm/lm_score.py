@@ -195,7 +195,7 @@ def score(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | None
     vocabulary, params = model or fit(docs, text_col)
     state = spark.sparkContext.broadcast((vocabulary.classes.tobytes(), vocabulary.within.tobytes(), packed(params).tobytes()))
     fresh = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
-    names = [c for c in (docs.columns if keep is None else keep) if c not in fresh]
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [f.lower() for f in fresh]]
 
     def run(batches):
         classes, within, p = np.frombuffer(state.value[0], np.int16), np.frombuffer(state.value[1], np.float32), unpacked(np.frombuffer(state.value[2], np.float32))

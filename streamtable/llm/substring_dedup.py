@@ -263,7 +263,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         places = places.unionByName(patterns.unionByName(streamed).repartition(deal(spark), "key", "share").sortWithinPartitions("key", "share", "kind").mapInArrow(locate, PLACES))
     where = found.select("seg", F.explode(F.arrays_zip("ids", "tags", "starts")).alias("o")).join(places, "seg").select(F.col("o.ids").alias("id"), F.col("o.tags").alias("tag"), F.col("o.starts").alias("start"), F.explode(F.arrays_zip("lo", "hi", "first")).alias("p"))
     gone = where.where("p.first < id").select("id", "tag", (F.col("start") + F.col("p.lo")).alias("lo"), (F.col("start") + F.col("p.hi")).alias("hi"))
-    keep = [k for k, c in enumerate(docs.columns) if c not in ("n_words", "n_removed")]
+    keep = [k for k, c in enumerate(docs.columns) if c.lower() not in ("n_words", "n_removed")]
     place = docs.columns.index(text_col)
 
     def cut(batches):

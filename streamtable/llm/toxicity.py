@@ -164,7 +164,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: tuple[str
     spark = docs.sparkSession
     small_batches(spark)
     fresh = [*(f"p_{c}" for c in chain.categories), *(f"is_{c}" for c in chain.categories)]
-    names = [c for c in (docs.columns if keep is None else keep) if c not in fresh]
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [f.lower() for f in fresh]]
     shared = spark.sparkContext.broadcast((chain.categories, [w.astype(np.float32).tobytes() for w in chain.weights], chain.thresholds))
 
     def run(batches):

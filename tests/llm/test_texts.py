@@ -12,7 +12,7 @@ from streamtable.llm.line_dedup import dedup_lines
 from streamtable.llm.substring_dedup import dedup_passages
 from streamtable.llm.suffix_dedup import dedup_bytes
 
-SCHEMA = "doc_id bigint, text string, n_lines string, key int, id int, row int, spans int"
+SCHEMA = "doc_id bigint, text string, N_Lines string, key int, id int, row int, spans int"
 
 
 def made_texts():

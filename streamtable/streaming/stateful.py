@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,18 +146,20 @@ class Panes(StatefulProcessor):
 
     def _rows(self, key: tuple, panes: list[dict]) -> Iterator[pd.DataFrame]:
         if panes:
-            yield pd.DataFrame([dict(zip(self.keys, key, strict=True)) | p for p in panes])
+            yield pd.DataFrame({**{k: [v] * len(panes) for k, v in zip(self.keys, key, strict=True)}, **{name: [p[name] for p in panes] for name in panes[0]}})
 
     def _moment(self, key: tuple, timers) -> Moment:
         return Moment(key[-1] is not None and key[-1] == key[-1] and timers.getCurrentWatermarkInMs() >= key[-1], timers.getCurrentProcessingTimeInMs())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = pickle.loads(self.state.get()[0]) if self.state.exists() else None
+        held = self.state.get()
+        s = pickle.loads(held[0]) if held is not None else None
         fresh = s is None
         s = s or new_state(self.strategy)
         at, panes = self._moment(key, timerValues), []
         for pdf in rows:
-            panes += step(self.strategy, s, self.combiner, pdf.sort_values("event_order")[self.value].tolist(), at)
+            order = np.argsort(pdf["event_order"].to_numpy(), kind="stable")
+            panes += step(self.strategy, s, self.combiner, pdf[self.value].to_numpy()[order].tolist(), at)
         if fresh and key[-1] is not None and key[-1] == key[-1]:
             for t in {int(key[-1]), int(key[-1]) + self.lateness}:
                 if t > timerValues.getCurrentWatermarkInMs():
@@ -165,9 +168,10 @@ class Panes(StatefulProcessor):
         yield from self._rows(key, panes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+        held = self.state.get()
+        if held is None:
             return
-        s, at = pickle.loads(self.state.get()[0]), self._moment(key, timerValues)
+        s, at = pickle.loads(held[0]), self._moment(key, timerValues)
         panes = step(self.strategy, s, self.combiner, [], at)
         if timerValues.getCurrentWatermarkInMs() >= int(key[-1]) + self.lateness:
             panes += close(self.strategy, s, self.combiner)

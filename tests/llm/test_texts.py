@@ -85,6 +85,26 @@ def test_jaccard_join(docs, monkeypatch, block):
     assert none_last(got) == none_last(brute.components(rows))
 
 
+def test_pipeline_keeps_one_of_near_copies(spark):
+    """The stage against brute force on five words and 0.8; three words and 0.9 would leave these copies."""
+    import corpus_pipeline
+
+    r = random.Random(6)
+    rows = []
+    for k in range(0, 40, 2):
+        ws = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        copy = [*ws, *(f"w{r.randrange(10**6)}" for _ in range(24 + k // 2))]  # past 0.9 and, at the end, close to 0.8
+        rows += [(k, " ".join(ws)), (k + 1, " ".join(copy))]
+    rows += [(100, " ".join(f"v{j}" for j in range(100))), (101, " ".join(f"v{j}" for j in range(130))), (102, None), (103, "one"), (None, rows[0][1])]
+    sets = [(i, brute.shingle_set(t, 5)) for i, t in rows]
+    gone = {i for i, s in sets for j, t in sets if i is not None and j is not None and j < i and s and t and 100 * len(s & t) >= 80 * len(s | t)}
+    assert len(gone) == 20 and 101 not in gone
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(x.doc_id,) for x in corpus_pipeline.keep_one_of_a_group(spark, df, "").collect()]
+    assert none_last(got) == none_last([(i,) for i, _ in rows if i not in gone])
+    assert all(i is None or i == c for i, _, c in brute.components(rows))
+
+
 def test_local_links_of_many_similar_sets():
     import numpy as np
 

@@ -3,8 +3,7 @@
 A window network sees the words on both sides of each word and predicts its class; the score of a document is the sum of the log-probabilities
 of all of its words, each given its neighbours. Classes are the most frequent words and, for the others, hash classes; within a
 class, a word has the probability that its hash bucket has in the corpus. The counts cover all documents. The network is trained in
-numpy on a fixed share of all positions, by every task on its own documents, and the tasks' parameters are averaged, several
-rounds over, so what is gathered grows with the corpus.
+numpy on every position, by every task on its own documents, and the tasks' parameters are averaged, several rounds over.
 """
 
 from __future__ import annotations
@@ -23,8 +22,8 @@ FREQUENT = 96  # classes of single buckets
 CLASSES = 128
 SIDE = 2  # words seen on either side
 WIDTH, HIDDEN = 12, 32
-SHARE = 16  # one position in so many is trained on in a round
-ROUNDS = 2
+ROUNDS = 2  # each over all positions
+HELD = 50_000  # positions, at least, that are shuffled together and then trained on
 EDGE = CLASSES  # the class of what lies outside the document
 GROUPS = 16  # of tasks whose parameters are averaged before they are averaged with others
 
@@ -82,15 +81,13 @@ def log_probability(p: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nda
 def learn(p: list[np.ndarray], squares: list[np.ndarray], x: np.ndarray, y: np.ndarray, rate: float = 0.05) -> None:
     """One step of adaptive gradient descent on a batch, in place."""
     n = len(y)
-    e, h, z = forward(p, x)
-    d = np.exp(z)
-    d /= d.sum(axis=1, keepdims=True)
-    d[np.arange(n), y] -= 1
-    d /= n
+    e, h, d = forward(p, x)
+    np.exp(d, out=d)
+    d *= 1 / (d.sum(axis=1, keepdims=True) * np.float32(n))
+    d[np.arange(n), y] -= np.float32(1 / n)
     back = (d @ p[3].T) * (1 - h * h)
-    outer = (back @ p[1].T).reshape(n * 2 * SIDE, WIDTH)
-    g0 = np.zeros_like(p[0])
-    np.add.at(g0, x.ravel(), outer)
+    cell = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    g0 = np.bincount(cell, weights=(back @ p[1].T).ravel(), minlength=p[0].size).reshape(p[0].shape).astype(np.float32)
     for q, s, g in zip(p, squares, (g0, e.T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0)), strict=True):
         s += g * g
         q -= rate * g / (np.sqrt(s) + 1e-6)
@@ -153,6 +150,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, list[np.nd
 
             def steps():
                 x, y = (np.concatenate(z) for z in zip(*held, strict=True))
+                order = np.random.default_rng(len(y)).permutation(len(y))
+                x, y = x[order], y[order]
                 for a in range(0, len(y), 512):
                     learn(p, squares, x[a : a + 512], y[a : a + 512])
 
@@ -160,17 +159,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, list[np.nd
                 for _, data, offs in _words.pieces(batch.column(0)):
                     b, first, h = buckets(data, offs)
                     c = classes[b].astype(np.int64)
-                    # positions are drawn by the hash of the words around, so that they don't depend on how rows are dealt
-                    mix = _words.mixed(h ^ np.roll(h, 1) * np.uint64(3) ^ np.uint64(turn + 1))
-                    at = np.flatnonzero(mix % np.uint64(SHARE) == 0)
-                    if len(at):
-                        held.append((context(c, first, at), c[at]))
-                        n += len(at)
-                        seen += len(at)
-                        check = (check + int(mix[at].sum() & np.uint64(0x7FFFFFFF))) & 0x7FFFFFFF
-                if n >= 50_000:
-                    steps()
-                    held, n = [], 0
+                    if len(c):
+                        held.append((context(c, first, np.arange(len(c))), c))
+                        n += len(c)
+                        seen += len(c)
+                        check = (check + int(h.sum() & np.uint64(0x7FFFFFFF))) & 0x7FFFFFFF
+                    if n >= HELD:
+                        steps()
+                        held, n = [], 0
             if n:
                 steps()
             if seen:
@@ -205,8 +201,8 @@ def score(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | None
                 b, first, _ = buckets(data, offs)
                 c = classes[b].astype(np.int64)
                 value = within[b].astype(np.float64)
-                for a in range(0, len(c), 8192):
-                    at = np.arange(a, min(a + 8192, len(c)))
+                for a in range(0, len(c), 1024):
+                    at = np.arange(a, min(a + 1024, len(c)))
                     value[at] += log_probability(p, context(c, first, at), c[at])
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 total.append(np.bincount(doc, weights=value, minlength=len(first) - 1))

@@ -126,6 +126,17 @@ def test_lm_prefers_the_order_it_was_trained_on(spark):
     assert lm_score.score(probe.limit(0)).collect() == []
 
 
+def test_lm_trains_on_every_word_pair(spark):
+    """Corpora of one repeated word pair each: a draw by word pair would leave most of them out."""
+    for a, b in (("left", "right"), ("up", "down"), ("in", "out")):
+        docs = spark.createDataFrame([(k, f"{a} {b} " * 60) for k in range(200)], "doc_id bigint, text string")
+        vocabulary, params = lm_score.fit(docs)
+        _, data, offs = next(lm_score._words.pieces(lm_score.pa.array([f"{a} {b} " * 60])))
+        bucket, first, _ = lm_score.buckets(data, offs)
+        classes = vocabulary.classes[bucket].astype(np.int64)
+        assert lm_score.log_probability(params, lm_score.context(classes, first, np.arange(120)), classes).mean() > np.log(0.8)
+
+
 def test_lm_sums_conditional_probabilities():
     """Against a word-by-word loop."""
     params = lm_score.start()

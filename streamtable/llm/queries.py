@@ -66,6 +66,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_jaccard_join with each document's number of links."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_neighbours": op7_neighbours,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
+    "op9_jaccard_links": op9_jaccard_links,
     "op10_html_extraction": op10_html_extraction,
 }
 
@@ -124,3 +130,4 @@ select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce((select
   coalesce(class_id, d.doc_id) as class_id
 from docs d left join sizes z on d.doc_id = z.doc_id left join same c on d.doc_id = c.doc_id""",
 }
+ORACLE_SQL["op9_jaccard_links"] = ORACLE_SQL["op9_jaccard_join"].replace("as class_id\nfrom docs d", "as class_id,\n  (select count(*) from ways w where w.x = d.doc_id) as n_links\nfrom docs d")

@@ -85,6 +85,18 @@ def test_jaccard_join(docs, monkeypatch, block):
     assert none_last(got) == none_last(brute.components(rows))
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_jaccard_join_counts_links(docs, monkeypatch, block):
+    """Every link is counted, also those that join nothing new."""
+    monkeypatch.setattr("streamtable.llm.jaccard_join.BLOCK", block)
+    rows, df = docs
+    sets = {i: brute.shingle_set(t) for i, t in rows if i is not None}
+    n = {i: sum(j != i and 100 * len(s & t) >= 90 * len(s | t) for j, t in sets.items() if s and t) for i, s in sets.items()}
+    assert max(n.values()) > 2
+    got = [(r.doc_id, r.n_links) for r in jaccard_components(df).collect()]
+    assert none_last(got) == none_last([(i, n.get(i)) for i, _ in rows])
+
+
 def test_pipeline_keeps_one_of_near_copies(spark):
     """The stage against brute force on five words and 0.8; three words and 0.9 would leave these copies."""
     import corpus_pipeline

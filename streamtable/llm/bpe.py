@@ -36,11 +36,24 @@ def byte_letters() -> list[str]:
     return out
 
 
+def checked(j: dict) -> dict:
+    """j, if it describes the kind of tokenizer that Bpe is: NFC, white space as one space, lower case, split by a pattern, byte letters, word ends. Else ValueError."""
+    model, normal, split = j["model"], j["normalizer"] or {}, (j["pre_tokenizer"] or {}).get("pretokenizers", [])
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in normal.get("normalizers", [])]
+    plain &= steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+    plain &= [x["type"] for x in split] == ["Split", "ByteLevel"] and (split[0]["behavior"], split[0]["invert"], split[1]["add_prefix_space"], split[1]["use_regex"]) == ("Removed", True, False, False)
+    plain &= j["decoder"] is None and not any(a[k] for a in j["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain:
+        raise ValueError("this vocabulary file has settings that this encoder does not follow")
+    return j
+
+
 class Bpe:
-    """Equals the tokenizers library for files of the kind "BPE with word ends": NFC, white space, lower case, split by pattern, byte letters."""
+    """Equals the tokenizers library for files that pass checked()."""
 
     def __init__(self, spec: str):
-        j = json.loads(spec)
+        j = checked(json.loads(spec))
         model = j["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
@@ -58,6 +71,28 @@ class Bpe:
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
         self.cache: dict[str, bytes] = {}
+        self.settled: dict[str, bool] = {}
+        self.spec, self.library = spec, None
+
+    def known(self, text: str) -> bool:
+        """Whether Python's tables have all letters of text; only later letters are classed or lower-cased otherwise by some tables."""
+        settled = self.settled
+        for c in set(text):
+            if c not in settled:
+                settled[c] = unicodedata.category(c) != "Cn"
+            if not settled[c]:
+                return False
+        return True
+
+    def words(self, text: str) -> list[str]:
+        if text.isascii() or self.known(text):
+            return self.pattern.findall(self.normal(text))
+        if self.library is None:
+            from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+            self.library = Tokenizer.from_str(self.spec).normalizer, pre_tokenizers.Split(Regex(self.pattern.pattern), "removed", invert=True)
+        normalizer, split = self.library
+        return [w for w, _ in split.pre_tokenize_str(normalizer.normalize_str(text))]
 
     def normal(self, text: str) -> str:
         """NFC and lower case letter by letter, so that no letter depends on its neighbours. White space separates in any form."""
@@ -99,11 +134,11 @@ class Bpe:
     def encode(self, text: str) -> np.ndarray:
         out: list[bytes] = []
         cache = self.cache
-        for part in self.split_added.split(text) if self.split_added and "<|" in text else [text]:
+        for part in self.split_added.split(text) if any(a in text for a in self.added) else [text]:
             if (i := self.added.get(part)) is not None:
                 out.append(array("I", [i]).tobytes())
                 continue
-            for w in self.pattern.findall(self.normal(part)):
+            for w in self.words(part):
                 ids = cache.get(w)
                 if ids is None:
                     ids = self.word(w)
@@ -125,7 +160,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
 
     keep: columns of docs to return, all unless given; columns named ids or decoded give way. Null and empty texts: no ids, "".
     Every row is encoded alone: repeated rows, ties and very long texts are nothing special. Empty table: empty result. Special
-    tokens written out in a text become their ids, as in the library's default.
+    tokens written out in a text become their ids, as in the library's default. Texts with letters that Python's Unicode tables
+    don't have yet are normalised and split, not merged, by the library itself. Files with other settings are refused.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -133,6 +169,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
         spec = f.read()
     if len(spec) > VOCABULARY_BYTES:
         raise ValueError(f"a vocabulary of over {VOCABULARY_BYTES} bytes isn't broadcast")
+    checked(json.loads(spec))
     shared = spark.sparkContext.broadcast(spec)
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "decoded")]
 

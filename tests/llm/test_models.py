@@ -40,7 +40,27 @@ def test_bpe_on_documents(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in QUERIES["op6_bpe"](spark, "/root/testdata/sf0.001").collect():
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
-        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        decoded = hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), decoded)
+
+
+def test_bpe_of_every_code_point(library):
+    """Each code point beside a letter, a digit and a sign, a few of them in a text."""
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        own = bpe.Bpe(f.read())
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}B{c}1!{c}" for c in letters[k : k + 16]) for k in range(0, len(letters), 16)]
+    assert all(own.encode(t).tolist() == e.ids for k in range(0, len(texts), 5000) for t, e in zip(texts[k : k + 5000], library.encode_batch(texts[k : k + 5000], add_special_tokens=False)))
+
+
+def test_bpe_refuses_other_settings():
+    import json
+
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        j = json.load(f)
+    j["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError):
+        bpe.Bpe(json.dumps(j))
 
 
 def test_neighbours_recall(spark):

@@ -23,12 +23,14 @@ from streamtable.llm import _boosting
 from streamtable.llm._store import small_batches
 
 MARK = "data-main"  # tells the label of generated nodes
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+ROWS = 1 << 14  # nodes whose features are made at once
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Elements of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select option button textarea datalist".split())
+SILENT = frozenset("script style template iframe head title select option button textarea datalist".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("tr", "thead"), "tfoot": ("tr", "tbody")}
 HOLDS = frozenset("ul ol menu dl table tr tbody thead tfoot article section main body div td th".split())
@@ -51,35 +53,76 @@ PLACES = ["article", "main", "nav", "header", "footer", "aside", "form", "p", "l
 class Node:
     __slots__ = ("tag", "up", "depth", "kinds", "text", "links", "inline", "label")
 
-    def __init__(self, tag: str, up: int, depth: int, kinds: tuple, label: bool):
+    def __init__(self, tag: str, up: int, depth: int, kinds: int, label: bool):
         self.tag, self.up, self.depth, self.kinds, self.label = tag, up, depth, kinds, label
         self.text, self.links, self.inline = "", 0, 0
 
 
-def attribute_kinds(raw: str) -> tuple[tuple, bool]:
-    kinds, label = [0] * (len(WORDS) + 1), False
+def attribute_kinds(raw: str) -> tuple[int, bool]:
+    """The kinds of an element's attribute tokens, a bit each, the last bit for what is hidden; and whether MARK is there."""
+    kinds, label = 0, False
     if raw.strip():
         for m in ATTRIBUTE.finditer(raw):
             name = m[1].lower()
             if name in ("class", "id", "role", "aria-label", "itemprop", "data-component"):
                 for w in PART.findall(m[2] or m[3] or m[4] or ""):
                     if (k := KIND.get(w.lower())) is not None:
-                        kinds[k] = 1
+                        kinds |= 1 << k
             elif name == "hidden" or name == "aria-hidden" and (m[2] or m[3] or m[4]) == "true" or name == "style" and "display:none" in (m[2] or m[3] or "").replace(" ", ""):
-                kinds[-1] = 1
+                kinds |= 1 << len(WORDS)
             elif name == MARK:
                 label = True
-    return tuple(kinds), label
+    return kinds, label
+
+
+class Tags:
+    """Where the tags of a page begin and end. Every scan for an end either moves on to what it finds or is not made again, so a page takes linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.broken = page, set(), False
+
+    def find(self, what: str, at: int) -> int:
+        """page.find(), which remembers what is no longer there."""
+        if what in self.missing:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.missing.add(what)
+        return k
+
+    def search(self, pattern: str, at: int):
+        """The next match of a pattern in any case, remembered likewise."""
+        if pattern in self.missing:
+            return None
+        m = re.compile(pattern, re.I).search(self.page, at)
+        if m is None:
+            self.missing.add(pattern)
+        return m
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag. Quotes hide a > until a page turns out to have quotes that don't pair up. No > at all: the end of the page."""
+        k = at
+        while not self.broken:
+            m = STOP.search(self.page, k)
+            if m is None:
+                self.broken = True
+            elif m[0] == ">":
+                return m.start()
+            else:
+                k = self.find(m[0], m.end()) + 1
+                self.broken = k == 0
+        k = self.find(">", at)
+        return len(self.page) if k < 0 else k
 
 
 def parse(page: str) -> list[Node]:
     """Block elements and text runs in page order. Unclosed and stray tags are mended the way browsers do in the usual cases."""
-    plain = (0,) * (len(WORDS) + 1)
-    nodes = [Node("html", -1, 0, plain, False)]
+    nodes = [Node("html", -1, 0, 0, False)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, with their block's node
+    where: dict[str, list[int]] = {"html": [0]}  # of each tag, its places in the stack
     parts: list[str] = []
-    links = inline = in_link = 0
-    at, n = 0, len(page)
+    links = inline = 0
+    at, n, tags = 0, len(page), Tags(page)
 
     def flush() -> None:
         nonlocal links, inline
@@ -88,49 +131,65 @@ def parse(page: str) -> list[Node]:
             parts.clear()
             if text:
                 up = stack[-1][1]
-                node = Node("#text", up, nodes[up].depth + 1, plain, nodes[up].label)
+                node = Node("#text", up, nodes[up].depth + 1, 0, nodes[up].label)
                 node.text, node.links, node.inline = text, min(links, len(text)), inline
                 nodes.append(node)
         links = inline = 0
 
+    def push(tag: str, node: int) -> None:
+        where.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
     def close(k: int) -> None:
-        nonlocal in_link
         if any(t in BLOCK for t, _ in stack[k:]):
             flush()
-        in_link -= sum(t == "a" for t, _ in stack[k:])
+        for t, _ in stack[k:]:
+            where[t].pop()
         del stack[k:]
 
+    def last(names) -> int:
+        return max((where[t][-1] for t in names if where.get(t)), default=0)
+
     def find(names: tuple, stop: frozenset) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in stop:
-                return 0
-        return 0
+        """The innermost open element of names, 0 if there is none or one of stop is further in."""
+        k = last(names)
+        return k if k and last(stop - frozenset(names)) < k else 0
 
     while at < n:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else n
+        begin = page.find("<", at)
+        end = n if begin < 0 else begin
+        m = NAME.match(page, end + 2 if page.startswith("/", end + 1) else end + 1)
+        closing = m is not None and m.start() == end + 2
+        if end < n and m is None and page[end + 1 : end + 2] not in ("!", "?"):
+            end += 1  # a bare <
         if end > at:
             parts.append(page[at:end])
-            if in_link:
+            if where.get("a"):
                 links += end - at
-        if not m:
+        if begin < 0:
             break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if m is None:
+            if end > begin:
+                at = end
+            elif page.startswith("<!--", begin):
+                k = tags.find("-->", begin + 4)
+                at = n if k < 0 else k + 3
+            else:
+                k = tags.find(">", begin)
+                at = n if k < 0 else k + 1
             continue
-        tag, attributes = name.lower(), (m[3] if m[2] else m[6]) or ""
-        if m[1] or m[4]:
+        at = tags.end(m.end())
+        tag, attributes = m[0].lower(), page[m.end() : at]
+        at += 1
+        if closing:
             if tag in SILENT or tag in ("html", "body"):
                 continue
-            if k := find((tag,), HOLDS - {tag} if tag in ("p", "li") else frozenset()):
+            if k := find((tag,), HOLDS if tag in ("p", "li") else frozenset()):
                 close(k)
             continue
         if tag in SILENT:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag == "head" and (body := re.compile(r"<body\b|</head\b", re.I).search(page, at)):
+            stop = tags.search(rf"</{tag}\b[^>]*>", at)
+            if tag == "head" and (body := tags.search(r"<body\b|</head\b", at)):
                 at = body.start()
             elif stop:
                 at = stop.end()
@@ -140,7 +199,7 @@ def parse(page: str) -> list[Node]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and where.get(tag):
             continue
         if tag in BLOCK:
             if k := find(("p",), HOLDS):
@@ -152,70 +211,75 @@ def parse(page: str) -> list[Node]:
             up = stack[-1][1]
             nodes.append(Node(tag, up, nodes[up].depth + 1, kinds, label or nodes[up].label))
             if tag not in VOID:
-                stack.append((tag, len(nodes) - 1))
+                push(tag, len(nodes) - 1)
         elif tag not in VOID:
             inline += 1
             if not attributes.endswith("/"):
-                stack.append((tag, stack[-1][1]))
-                in_link += tag == "a"
+                push(tag, stack[-1][1])
     flush()
     return nodes
 
 
+class Features:
+    """What is known of each node; rows() makes the features of some of them, so that a page of a million nodes takes little memory."""
+
+    def __init__(self, nodes: list[Node]):
+        n = self.n = len(nodes)
+        up = self.up = [x.up for x in nodes]
+        own = np.zeros((n + 1, 6))
+        for i, x in enumerate(nodes):
+            own[i + 1] = (len(x.text), x.links, 1 + x.inline, x.text != "", sum(map(x.text.count, ".,;:!?")) if x.text else 0, x.tag == "p")
+        end = list(range(1, n + 1))  # nodes are in page order, so a subtree is a run of them
+        above, place, index, count, before, after = [x.kinds for x in nodes], [0] * n, [0] * n, [0] * n, [-1] * n, [-1] * n
+        for i in range(n - 1, 0, -1):
+            if end[i] > end[up[i]]:
+                end[up[i]] = end[i]
+        newest = [0] * n
+        for i in range(1, n):
+            u = up[i]
+            above[i] |= above[u]
+            place[i] = place[u] | (1 << PLACES.index(nodes[i].tag) if nodes[i].tag in PLACES else 0)
+            index[i] = count[u]
+            count[u] += 1
+            if newest[u]:
+                before[i], after[newest[u]] = newest[u], i
+            newest[u] = i
+        sums = np.cumsum(own, axis=0)
+        self.sub = sums[end] - sums[:-1]
+        self.parent = np.maximum(np.array(up), 0)
+        self.own, self.above, self.place = (np.array(x, np.int32) for x in ([x.kinds for x in nodes], above, place))
+        self.index, self.count, self.before, self.after = np.array(index), np.array(count)[self.parent], np.array(before), np.array(after)
+        self.count[0] = 0
+        self.tag = np.array([TAGS.index(x.tag) if x.tag in TAGS else len(TAGS) for x in nodes], np.int8)
+        self.depth = np.array([x.depth for x in nodes])
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        text, links, tags, runs, marks, paragraphs = self.sub[a:b].T
+        whole, up = self.sub[:, 0], self.parent[a:b]
+        beside = [np.where(x[a:b] < 0, -1, np.log1p(whole[x[a:b]])) for x in (self.before, self.after)]
+        bits = lambda x, k: (x[a:b, None] >> np.arange(k)) & 1
+        return np.column_stack([
+            self.depth[a:b], np.log1p(text), links / (text + 1), tags / (text + 1) * 100, text / (runs + 1), marks / (text + 1) * 100, np.log1p(runs), np.log1p(paragraphs), text / max(whole[0], 1.0), text / (whole[up] + 1),
+            self.index[a:b], self.count[a:b], self.index[a:b] / np.maximum(self.count[a:b], 1), *beside, np.log1p(whole[up]), self.sub[up, 1] / (whole[up] + 1), np.arange(a, b) / self.n,
+            self.tag[a:b, None] == np.arange(len(TAGS)), bits(self.own, len(WORDS) + 1), bits(self.above, len(WORDS) + 1), bits(self.place, len(PLACES))])
+
+
 def features(nodes: list[Node]) -> np.ndarray:
-    n = len(nodes)
-    text, links, tags, runs, marks, paragraphs = (np.zeros(n) for _ in range(6))
-    up = np.array([x.up for x in nodes])
-    for i, x in enumerate(nodes):
-        tags[i] = 1 + x.inline
-        paragraphs[i] = x.tag == "p"
-        if x.text:
-            text[i], links[i], runs[i] = len(x.text), x.links, 1
-            marks[i] = sum(map(x.text.count, ".,;:!?"))
-    sub = np.column_stack([text, links, tags, runs, marks, paragraphs])
-    for i in range(n - 1, 0, -1):
-        sub[up[i]] += sub[i]
-    text, links, tags, runs, marks, paragraphs = sub.T
-    kinds = np.array([x.kinds for x in nodes], float)
-    above, place = kinds.copy(), np.zeros((n, len(PLACES)))
-    children: list[list[int]] = [[] for _ in range(n)]
-    for i in range(1, n):
-        above[i] = np.maximum(above[i], above[up[i]])
-        place[i] = place[up[i]]
-        if nodes[i].tag in PLACES:
-            place[i, PLACES.index(nodes[i].tag)] = 1
-        children[up[i]].append(i)
-    index, count, before, after = (np.zeros(n) for _ in range(4))
-    for own in children:
-        for k, i in enumerate(own):
-            index[i], count[i] = k, len(own)
-            before[i] = math.log1p(text[own[k - 1]]) if k else -1
-            after[i] = math.log1p(text[own[k + 1]]) if k + 1 < len(own) else -1
-    kind = np.zeros((n, len(TAGS)))
-    for i, x in enumerate(nodes):
-        if x.tag in TAGS:
-            kind[i, TAGS.index(x.tag)] = 1
-    depth = np.array([x.depth for x in nodes], float)
-    total = max(text[0], 1.0)
-    parent_text = text[np.maximum(up, 0)]
-    return np.column_stack([
-        depth, np.log1p(text), links / (text + 1), tags / (text + 1) * 100, text / (runs + 1), marks / (text + 1) * 100, np.log1p(runs), np.log1p(paragraphs), text / total, text / (parent_text + 1),
-        index, count, index / np.maximum(count, 1), before, after, np.log1p(parent_text), (links / (text + 1))[np.maximum(up, 0)], np.arange(n) / n, kind, kinds, above, place])
-
-
-def decode(p: np.ndarray, up: np.ndarray) -> np.ndarray:
+    return Features(nodes).rows(0, len(nodes))
+
+
+def decode(p: np.ndarray, up) -> np.ndarray:
     """The most probable labelling in which a node with main text has no ancestor without."""
-    yes, no = np.log(np.clip(p, 1e-6, 1)), np.log(np.clip(1 - p, 1e-6, 1))
-    best = yes.copy()  # of the subtree, its root with main text
-    none = no.copy()  # of the subtree without any
-    for i in range(len(p) - 1, 0, -1):
+    up = np.asarray(up).tolist()
+    best = np.log(np.clip(p, 1e-6, 1)).tolist()  # of the subtree, its root with main text
+    none = np.log(np.clip(1 - p, 1e-6, 1)).tolist()  # of the subtree without any
+    for i in range(len(up) - 1, 0, -1):
         none[up[i]] += none[i]
         best[up[i]] += max(best[i], none[i])
-    out = np.zeros(len(p), bool)
-    out[0] = best[0] > none[0]
-    for i in range(1, len(p)):
-        out[i] = out[up[i]] and best[i] > none[i]
-    return out
+    out = [best[0] > none[0]]
+    for i in range(1, len(up)):
+        out.append(out[up[i]] and best[i] > none[i])
+    return np.array(out)
 
 
 def generated_page(r: random.Random) -> str:
@@ -226,7 +290,7 @@ def generated_page(r: random.Random) -> str:
     def sentence(n: int) -> str:
         ws = [word() for _ in range(n)]
         if r.random() < 0.1:
-            ws = [w + r.choice(("|", " |", "!!", "***", "&amp;")) for w in ws]
+            ws = [w + r.choice(("/", " -", "!", "*", ")", "&amp;", " &gt;", "|")) for w in ws]
         if n > 6 and r.random() < 0.5:
             ws[n // 2] += ","
         return " ".join(ws).capitalize() + r.choice((".", ".", ".", "", "?"))
@@ -254,7 +318,7 @@ def generated_page(r: random.Random) -> str:
         return named(*((("header", ("edge",))) if r.random() < 0.5 else ("div", ("edge",))), r.choice((f"<h1>{sentence(3)}</h1>", f"<p>{sentence(5)}</p>", link(), sentence(4))) + (menu() if r.random() < 0.4 else ""), True)
 
     def footer() -> str:
-        body = r.choice(("&copy; ", "")) + f"{word()}.example.{r.choice(('com', 'net'))} &middot; {prose(2)}" + (" ".join(link() for _ in range(r.randint(0, 5))))
+        body = r.choice(("&copy; ", "", "(c) ")) + f"{r.choice((word(), f'{word()} {word()}', f'www.{word()}.org'))} {r.choice(('&middot;', '|', '-', ''))} {prose(2)}" + " ".join(link() for _ in range(r.randint(0, 5)))
         return named("footer", ("edge",), f"<p>{body}</p>" if r.random() < 0.4 else body) if r.random() < 0.7 else named("div", ("edge",), body, True)
 
     def side() -> str:
@@ -290,7 +354,8 @@ def generated_page(r: random.Random) -> str:
         if kind < 0.72:
             body = prose(12)
             if r.random() < 0.2:
-                body = r.choice((f"<b>{body}<br>", f"<em>{body}</em>", f"{body} {link()} {sentence(4)}", f"<b>{sentence(3)}</b> {body}"))
+                tag = r.choice(("b", "i", "em", "strong", "span", "small", "code"))
+                body = r.choice((f"<{tag}>{body}{r.choice((f'</{tag}>', ''))}", f"{body}<br>{sentence(6)}", f"{body} {link()} {sentence(4)}", f"<{tag}>{sentence(3)}</{tag}> {body}"))
             blocks.append(f"<p{mark}>{body}" + ("</p>" if r.random() < 0.9 else ""))
         elif kind < 0.8:
             blocks.append(f"<h2{mark}>{sentence(4)}</h2>")
@@ -346,13 +411,22 @@ def train(pages: int = 500, seed: int = 5) -> _boosting.Trees:
 def main_text(pages: list[str | None], model: _boosting.Trees) -> list[str]:
     """The main text of each page: kept runs of text in page order, joined by a blank line."""
     parsed = [parse(p or "") for p in pages]
-    p = model.probabilities(np.concatenate([features(nodes) for nodes in parsed])) if parsed else np.zeros(0)
-    out, at = [], 0
-    for nodes in parsed:
-        keep = decode(p[at : at + len(nodes)], np.array([x.up for x in nodes]))
-        at += len(nodes)
-        out.append("\n\n".join([x.text for x, k in zip(nodes, keep.tolist(), strict=True) if k and x.text]))
-    return out
+    told = [Features(nodes) for nodes in parsed]
+    jobs, held = [], 0  # runs of nodes whose probabilities are found together
+    for k, f in enumerate(told):
+        for a in range(0, f.n, ROWS):
+            if not jobs or held + min(ROWS, f.n - a) > ROWS:
+                jobs.append([])
+                held = 0
+            jobs[-1].append((k, a, min(a + ROWS, f.n)))
+            held += jobs[-1][-1][2] - a
+    p = [np.zeros(f.n) for f in told]
+    for job in jobs:
+        found, at = model.probabilities(np.concatenate([told[k].rows(a, b) for k, a, b in job])), 0
+        for k, a, b in job:
+            p[k][a:b] = found[at : at + b - a]
+            at += b - a
+    return ["\n\n".join([x.text for x, k in zip(nodes, decode(q, f.up).tolist(), strict=True) if k and x.text]) for nodes, q, f in zip(parsed, p, told, strict=True)]
 
 
 def extract(pages: DataFrame, html_col: str = "html", model: _boosting.Trees | None = None) -> DataFrame:

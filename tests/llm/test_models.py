@@ -207,6 +207,35 @@ def test_extraction_of_awkward_pages(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<option>", "<p>", "<b>", "</x>", '<a ">" ', "<!", "<a href='x\">", "<b></i>", "<p><div><b><hr>", "<", "&amp", "<table><tr><td>", "<li><!--", "<head>"])
+def test_long_malformed_pages_take_linear_time(unit):
+    import time
+
+    page = unit * (400_000 // len(unit))
+    html_extract.parse(page[:1000])
+    began = time.perf_counter()
+    known = html_extract.Features(html_extract.parse(page))
+    known.rows(0, min(known.n, 1000))
+    assert time.perf_counter() - began < 15
+
+
+def test_a_page_of_five_megabytes():
+    import time
+
+    model = html_extract.train(60)
+    began = time.perf_counter()
+    texts = html_extract.main_text(["<a " * 1_700_000, "<article>" + "<p>some words of the text, and more of them.</p>" * 100_000 + "</article>"], model)
+    assert time.perf_counter() - began < 60 and texts[0] == "" and len(texts[1]) > 3_000_000
+
+
+def test_text_in_any_element_is_judged():
+    model = html_extract.train()
+    text = "The words that stand here are long enough to matter, as are those that follow them. " * 3
+    page = f"<body><article><p>{text}</p><p>Let <math><mi>x</mi></math> be <object>given</object>. {text}</p><noscript><p>{text}</p></noscript></article></body>"
+    plain = " ".join(text.split())
+    assert html_extract.main_text([page], model) == ["\n\n".join([plain, f"Let x be given. {plain}", plain])]
+
+
 def test_decoding_is_consistent_and_best():
     import itertools
 

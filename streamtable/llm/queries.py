@@ -57,6 +57,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    """poor is no category of toxicity; labels have only one, and quality is what else they tell of a document."""
     return toxicity.fit_chain(docs, labels, {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")})
 
 

@@ -95,14 +95,48 @@ def test_neighbours_of_awkward_vectors(spark):
 
 
 def test_toxicity_held_out(spark):
-    """Fitted on four fifths of the documents; judged on the others."""
+    """Fitted on four fifths of the documents by content, copies together; judged on the others."""
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    chain = toxicity.fit_chain(docs, labels.where("doc_id % 5 <> 0"), {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")})
-    out = toxicity.score(docs.where("doc_id % 5 = 0"), chain, keep=("doc_id",)).join(labels, "doc_id")
-    n = {(r.toxic, r.is_toxic): r["count"] for r in out.groupBy("toxic", "is_toxic").count().collect()}
-    hit, miss, wrong, right = n.get((1, True), 0), n.get((1, False), 0), n.get((0, True), 0), n.get((0, False), 0)
-    assert hit / (hit + miss) > 0.8 and wrong / (wrong + right) < 0.01
+    rows = docs.join(labels, "doc_id").select("doc_id", "text").collect()
+    fold = toxicity.folds([toxicity.features(r.text) for r in rows])
+    fifth = spark.createDataFrame([(r.doc_id,) for r, f in zip(rows, fold.tolist()) if f == 0], "doc_id bigint")
+    chain = toxicity.fit_chain(docs, labels.join(fifth, "doc_id", "left_anti"), {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    out = toxicity.score(docs.join(fifth, "doc_id", "left_semi"), chain, keep=("doc_id",)).join(labels, "doc_id").collect()
+    n = {k: sum((r.toxic, r.is_toxic) == k for r in out) for k in ((1, True), (1, False), (0, True), (0, False))}
+    assert n[1, True] / (n[1, True] + n[1, False]) > 0.8 and n[0, True] / (n[0, True] + n[0, False]) < 0.01
+    told, true = sum(r.p_toxic for r in out) / len(out), sum(r.toxic for r in out) / len(out)
+    assert abs(told - true) < 0.05  # probabilities in the corpus, not in the half-and-half sample
+
+
+def test_copies_share_a_fold():
+    """Random labels, each row five times and one word changed in some: what is out of fold tells nothing."""
+    r = np.random.default_rng(5)
+    rows, y = [], []
+    for _ in range(150):
+        row = np.unique(r.integers(0, 4000, 60)).astype(np.int32)
+        label = int(r.random() < 0.5)
+        for k in range(5):
+            rows.append(np.unique(np.append(row[k > 2 :], 5000 + k)).astype(np.int32))
+            y.append(label)
+    fold = toxicity.folds(rows)
+    assert all(len(set(fold[k : k + 5].tolist())) == 1 for k in range(0, len(rows), 5)) and max(np.bincount(fold)) < 200
+    y = np.array(y, float)
+    right = 0
+    for f in range(toxicity.FOLDS):
+        w = toxicity.fit_without(f, rows, fold, np.zeros((len(rows), 0)), y, 1 << toxicity.BITS)
+        o = np.flatnonzero(fold == f)
+        p = toxicity.Rows([rows[i] for i in o]).dot(w[: 1 << toxicity.BITS]) + w[-1]
+        right += ((p > 0) == (y[o] > 0)).sum()
+    assert 0.3 < right / len(rows) < 0.7
+
+
+def test_the_sample_is_bounded(spark):
+    rows, held = toxicity.within([(k, b"1234" * 10, 1) for k in range(9, -1, -1)], 35)
+    assert [x[0] for x in rows] == [0, 1, 2] and held == 30
+    docs = spark.createDataFrame([(k % 4, f"word{k} text") for k in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)] * 50, "doc_id bigint, toxic int")
+    assert len(toxicity.fit_chain(docs, labels, {"toxic": F.col("toxic")}, total=3).weights) == 1
 
 
 def test_chain_feeds_earlier_probabilities():

@@ -63,13 +63,17 @@ def test_bpe_refuses_other_settings():
         bpe.Bpe(json.dumps(j))
 
 
-def test_neighbours_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 700, "visits": 50}])
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_neighbours_recall(spark, sf, options):
+    """At two sizes, in one cell and in many."""
+    table = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     u = x / np.linalg.norm(x, axis=1)[:, None]
     hit = total = 0
     got = {}
-    for r in nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect():
+    for r in nearest(table, **options).collect():
         got.setdefault(r.query_id, []).append(r)
     assert sorted(got) == sorted(i for i in ids.tolist() if i % 50 == 0)
     for q, found in got.items():
@@ -84,6 +88,20 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_neighbours_of_a_hot_vector(spark):
+    """A third of the rows are one vector, others are multiples of another; ties go to the smaller id, exactly."""
+    r = np.random.default_rng(8)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0] if k % 3 == 0 else [2.0 ** (k % 7), 2.0 ** (k % 7), 0.0, 0.0] if k % 3 == 1 else r.normal(size=4).tolist()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for x in nearest(df, shard_rows=300, visits=20).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
+    assert len(got) == 60
+    for q, found in got.items():
+        if q % 3 < 2:
+            assert [i for _, i in sorted(found)] == [i for i in range(q % 3, 3000, 3) if i != q][:5]
+
+
 def test_neighbours_of_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (50, [1.0, 0.0]), (8, [3.0, 0.0]), (8, [3.0, 0.0]), (9, []), (None, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (11, [-1e200, 1e200])]

@@ -159,6 +159,32 @@ def test_decontamination(spark, docs):
     assert none_last([(x,) for x in left]) == none_last([(i,) for i, _ in rows if i not in {x[0] for x in want}])
 
 
+def test_decontamination_recall_by_length(spark):
+    """Items of one to ten shingles, 200 of each, cut out of long documents."""
+    r = random.Random(12)
+    docs = [(k, " ".join(f"w{r.randrange(10**7)}" for _ in range(3000))) for k in range(40)]
+    items = []
+    for n in range(1, 11):
+        for _ in range(200):
+            ws = docs[r.randrange(40)][1].split(" ")
+            at = r.randrange(3000 - n - 4)
+            items.append((len(items), " ".join(ws[at : at + n + 4])))
+    found = {x.item_id for x in contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    for n in range(10):
+        assert sum(k in found for k in range(200 * n, 200 * n + 200)) >= (196 if n == 0 else 200)
+
+
+def test_decontamination_with_a_hot_shingle(spark):
+    """A phrase that all items and all documents have makes no pairs by itself, and hides none."""
+    r = random.Random(13)
+    prose = lambda n: " ".join(f"w{r.randrange(10**7)}" for _ in range(n))
+    phrase = "what is the answer to the question that follows"
+    items = [(k, f"{phrase} {prose(30)}") for k in range(300)] + [(1000, phrase)]
+    docs = [(k, f"{prose(40)} {phrase} {prose(40)}") for k in range(300)] + [(1000 + k, f"{prose(20)} {items[k][1]}") for k in range(5)]
+    got = sorted((x.doc_id, x.item_id, x.n_item, x.n_shared) for x in contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert got == brute.contaminated(docs, items) and len(got) == 310
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for out in (dedup_lines(none), dedup_bytes(none), dedup_passages(none), jaccard_components(none), contamination(none, spark.createDataFrame([], "item_id bigint, text string"))):

@@ -202,25 +202,63 @@ def test_lm_trains_on_every_word_pair(spark):
     """Corpora of one repeated word pair each: a draw by word pair would leave most of them out."""
     for a, b in (("left", "right"), ("up", "down"), ("in", "out")):
         docs = spark.createDataFrame([(k, f"{a} {b} " * 60) for k in range(200)], "doc_id bigint, text string")
-        vocabulary, params = lm_score.fit(docs)
-        _, data, offs = next(lm_score._words.pieces(lm_score.pa.array([f"{a} {b} " * 60])))
-        bucket, first, _ = lm_score.buckets(data, offs)
-        classes = vocabulary.classes[bucket].astype(np.int64)
-        assert lm_score.log_probability(params, lm_score.context(classes, first, np.arange(120)), classes).mean() > np.log(0.8)
-
-
-def test_lm_sums_conditional_probabilities():
-    """Against a word-by-word loop."""
-    params = lm_score.start()
-    classes = np.array([3, 5, 3, 9, 1])
-    first = np.array([0, 3, 5])
-    got = lm_score.log_probability(params, lm_score.context(classes, first, np.arange(5)), classes)
-    for i in range(5):
-        low, high = (0, 3) if i < 3 else (3, 5)
-        seen = [classes[j] if low <= j < high else lm_score.EDGE for j in (i - 2, i - 1, i + 1, i + 2)]
-        h = np.tanh(np.concatenate([params[0][s] for s in seen]) @ params[1] + params[2])
-        z = h @ params[3] + params[4]
-        assert got[i] == pytest.approx(z[classes[i]] - np.log(np.exp(z).sum()), abs=1e-4)
+        out = lm_score.score(docs).first()
+        assert out.mean_log_likelihood > np.log(0.8)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """The same rows in 1 and 7 partitions, trained in several blocks."""
+    monkeypatch.setattr(lm_score, "BLOCK", 20_000)
+    monkeypatch.setattr(lm_score, "WARM", 5_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, seven = ({r.doc_id: r.log_likelihood for r in lm_score.score(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one == seven
+
+
+def test_lm_beats_frequencies_on_held_out_documents(spark):
+    """Nine in ten documents by content for training; on the others, at least half a nat a word better than how often words are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
+    model = lm_score.fit(docs.where("not held"))
+    out = lm_score.score(docs.where("held"), model=model).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first()
+    plain = n = 0
+    texts = lm_score.pa.array([r.text for r in docs.where("held").collect()])
+    mass = np.bincount(model.classes, weights=np.exp(model.within), minlength=lm_score.CLASSES)
+    assert mass.max() < 1.001  # shares of a class add up to one at most
+    number, total, distinct = count_words(docs.where("not held").collect())
+    for _, data, offs in lm_score._words.pieces(texts):
+        h, _ = lm_score.read(data, offs)
+        n += len(h)
+        plain += sum(np.log((number.get(x, 0) + 0.5) / (total + 0.5 * distinct)) for x in h.tolist())
+    assert n == out[1] and out[0] / n > plain / n + 0.5
+
+
+def count_words(rows):
+    from collections import Counter
+
+    number = Counter()
+    for _, data, offs in lm_score._words.pieces(lm_score.pa.array([r.text for r in rows])):
+        number.update(lm_score.read(data, offs)[0].tolist())
+    return number, sum(number.values()), len(number)
+
+
+def test_lm_scores_against_a_loop(spark):
+    """The score of whole documents, word by word from the model's numbers."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(40)}" for _ in range(r.randint(1, 60))) for _ in range(50)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    m = lm_score.fit(docs)
+    p = [q.astype(float) for q in m.params]
+    for row in lm_score.score(docs, model=m).collect():
+        ws = texts[row.doc_id].split(" ")
+        ids = [int(m.words.ids(lm_score.read(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0])[0]) for w in ws]
+        total = 0.0
+        for i, own in enumerate(ids):
+            near = [m.classes[ids[j]] if 0 <= j < len(ids) else lm_score.EDGE for j in (i - 2, i - 1, i + 1, i + 2)]
+            mean = [np.mean([m.vectors[j] for j in side], axis=0) if side else np.zeros(lm_score.DIMS) for side in (ids[max(0, i - 16) : i], ids[i + 1 : i + 17])]
+            h = np.tanh(np.concatenate([*(p[0][c] for c in near), *mean]) @ p[1] + p[2])
+            z = h @ p[3] + p[4]
+            total += z[m.classes[own]] - np.log(np.exp(z).sum()) + m.within[own]
+        assert row.log_likelihood == pytest.approx(total, rel=1e-4)
 
 
 def test_extraction_of_held_out_layouts():

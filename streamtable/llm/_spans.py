@@ -30,6 +30,19 @@ def runs(grams: np.ndarray, width: int, begin: np.ndarray, window: int) -> tuple
     return doc[first], at[first], at[last], _words.mixed(m[first])
 
 
+def by_place(g: np.ndarray, windows: int, step: int) -> list[tuple[int, int, int]]:
+    """(first window, last window, place) of the runs of a segment's windows in which its least k-gram g stands at about the same place.
+
+    Places are counted from the window's beginning to the first such k-gram, so many (step) of them as one, and equal windows agree in them.
+    With a step of one, every window is a run of its own, in periodic text too.
+    """
+    at = np.flatnonzero(g == g.min())
+    first = np.arange(windows)
+    place = (at[np.searchsorted(at, first)] - first) // step
+    new = first if step == 1 else np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return list(zip(new.tolist(), np.append(new[1:] - 1, windows - 1).tolist(), place[new].tolist(), strict=True))
+
+
 def grams(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive values; the last ones, cut short, are never part of a whole window."""
     prefix, down = _words.sums(values)

@@ -58,9 +58,9 @@ def test_line_dedup_with_a_full_filter(docs):
     assert none_last(got) == none_last(brute.lines(rows))
 
 
-@pytest.mark.parametrize("share", [20_000, 2])
-def test_suffix_dedup(docs, monkeypatch, share):
-    monkeypatch.setattr("streamtable.llm.suffix_dedup.SHARE", share)
+@pytest.mark.parametrize("hot", [1 << 22, 3000, 1])
+def test_suffix_dedup(docs, monkeypatch, hot):
+    monkeypatch.setattr("streamtable.llm.suffix_dedup.HOT", hot)
     rows, df = docs
     out = dedup_bytes(df)
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)) for r in out.collect()]

@@ -3,8 +3,9 @@
 Windows of consecutive words meet under the hash of their least k-gram (see _spans); Bloom filters keep all but repeated hashes at
 home. A segment is a run of such windows; equal segments are one, with the smallest document id. A shard takes the segments of its
 hashes: equal windows of several documents confirm a recurring passage and its first document, the passages of a hash are compiled
-into automata, and all its segments stream through these to locate every occurrence. A hash with very many segments is
-confirmed by grouping windows over all tasks instead, and dealt to several shards, each with its automata.
+into automata, and all its segments stream through these to locate every occurrence. A hash with more bytes of segments than a shard
+takes is divided by the place of its k-gram in the window, on which equal windows agree: into shards again, finer and finer, until
+what many documents have in common is equal segments, and a segment, at last, is one window. No pattern goes to two shards.
 """
 
 from __future__ import annotations
@@ -22,15 +23,23 @@ from streamtable.llm._repeats import BLOCKS_DDL, Blocks, Repeats, repeats, shard
 from streamtable.llm._store import deal, small_batches, stored
 
 GRAM = 16  # words
-SHARE = 20_000  # segments of one hash that a task takes
+HOT = 1 << 22  # bytes of one hash's segments that a shard takes
+STEPS = (16, 4, 1)  # places of the k-gram that are taken as one, where a hash has more
 LETTERS = 1_000_000  # words of an automaton, each a code point
 PHRASES = 20_000  # phrases of an automaton
 
 
 def segments(data: np.ndarray, offs: np.ndarray, window: int):
     w = _words.words(data, offs)
-    gram = min(GRAM, window)
-    return w, _spans.runs(_spans.grams(_words.mixed(w.hash + np.uint64(7)), gram), window - gram + 1, w.first, window)
+    return w, _spans.runs(segment_grams(w, window), window - min(GRAM, window) + 1, w.first, window)
+
+
+def grams_of(text: bytes, window: int) -> np.ndarray:
+    return segment_grams(_words.words(np.frombuffer(text, np.uint8), np.array([0, len(text)])), window)
+
+
+def segment_grams(w: _words.Words, window: int) -> np.ndarray:
+    return _spans.grams(_words.mixed(w.hash + np.uint64(7)), min(GRAM, window))
 
 
 def window_hashes(ws: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +164,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if held:
                 rows = list(held.items())
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([r[0] for _, r in rows], pa.int64()), "seg": pa.array([k for k, _ in rows], pa.binary()), "rep": pa.array([int.from_bytes(k[:8], "little", signed=True) for k, _ in rows], pa.int64()), "words": pa.array([r[1] for _, r in rows], pa.binary()),
+                    "key": pa.array([r[0] for _, r in rows], pa.int64()), "seg": pa.array([k for k, _ in rows], pa.binary()), "words": pa.array([r[1] for _, r in rows], pa.binary()),
                     "least": pa.array([min(r[2]) for _, r in rows], pa.int64()), "most": pa.array([max(r[2]) for _, r in rows], pa.int64()),
                     "ids": pa.array([r[2] for _, r in rows], pa.list_(pa.int64())), "tags": pa.array([r[3] for _, r in rows], pa.list_(pa.int64())), "starts": pa.array([r[4] for _, r in rows], pa.list_(pa.int64()))})
 
@@ -180,10 +189,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 held, n = {}, 0
         yield from flush()
 
-    found = stored(slim.mapInArrow(suspects, "key bigint, seg binary, rep bigint, words binary, least bigint, most bigint, ids array<bigint>, tags array<bigint>, starts array<bigint>"))
-    many = stored(found.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > SHARE).select("key", F.ceil(F.col("rows") / SHARE).cast("int").alias("k")))
-    any_many = not many.isEmpty()
-
+    found = stored(slim.mapInArrow(suspects, "key bigint, seg binary, words binary, least bigint, most bigint, ids array<bigint>, tags array<bigint>, starts array<bigint>"))
     def shard(batches):
         now, group = None, {}
 
@@ -212,55 +218,53 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 group[seg] = (text, min(least, held[1]), max(most, held[2])) if held else (text, least, most)
         yield from done()
 
-    usual = found.join(F.broadcast(many), "key", "left_anti") if any_many else found
-    places = usual.select("key", "seg", "words", "least", "most").repartition(deal(spark), "key").sortWithinPartitions("key").mapInArrow(shard, PLACES)
-
-    def windows(batches):
-        for batch in batches:
-            parts = []
-            for rep, text, least, most in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                one, two = window_hashes(text.split(b" "), window)
-                k = len(one)
-                parts.append((one, two, np.full(k, least), np.full(k, most), np.full(k, rep)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["one", "two", "least", "most", "rep"])
-
-    def phrases(batches):
-        for batch in batches:
-            rows = []
-            for key, text, sure in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                known = {(s["one"], s["two"]): s["least"] for s in sure}
-                one, two = window_hashes(text.split(b" "), window)
-                at = [(i, known[p]) for i, p in enumerate(zip(one.tolist(), two.tolist(), strict=True)) if p in known]
-                rows.append((key, text, [i for i, _ in at], [f for _, f in at]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["key", "words", "at", "firsts"])
-
-    def locate(batches):
-        now, automata = None, None
-        for batch in batches:
-            out = []
-            for key, share, kind, seg, text, at, firsts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (key, share) != now:
-                    now, automata = (key, share), Automata(window)
-                if not kind:
-                    automata.add(text.split(b" "), at, firsts)
-                    continue
-                automata.close()
-                lo, hi, first = merged(automata.find(text.split(b" ")), window)
-                if lo:
-                    out.append((seg, lo, hi, first))
-            if out:
-                yield places_batch(out)
+    def divide(step: int):
+        def run(batches):
+            held: dict[bytes, list] = {}
+            n = 0
+
+            def flush():
+                if held:
+                    rows = list(held.items())
+                    yield pa.RecordBatch.from_pydict({
+                        "key": pa.array([r[0] for _, r in rows], pa.int64()), "seg": pa.array([k for k, _ in rows], pa.binary()), "words": pa.array([r[1] for _, r in rows], pa.binary()), "least": pa.array([r[2] for _, r in rows], pa.int64()),
+                        "most": pa.array([r[3] for _, r in rows], pa.int64()), "roots": pa.array([r[4] for _, r in rows], pa.list_(pa.binary())), "offs": pa.array([r[5] for _, r in rows], pa.list_(pa.int64()))})
+
+            for batch in batches:
+                for key, root, text, least, most in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    ws = text.split(b" ")
+                    for x, y, place in _spans.by_place(grams_of(text, window), len(ws) - window + 1, step):
+                        part = b" ".join(ws[x : y + window])
+                        r = held.setdefault(xxhash.xxh3_128_digest(part), [xxhash.xxh3_64_intdigest(b"%d %d" % (key, place)) - (1 << 63), part, least, most, [], []])
+                        r[2], r[3] = min(r[2], least), max(r[3], most)
+                        r[4].append(root)
+                        r[5].append(x)
+                        n += 1
+                    if n >= 20_000:
+                        yield from flush()
+                        held, n = {}, 0
+            yield from flush()
+
+        return run
+
+    def places_of(rows: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+        """PLACES of recurring windows in the segments of rows (key, seg, words, least, most), of which several may be equal."""
+        hot = stored(rows.groupBy("key").agg(F.sum(F.octet_length("words")).alias("size")).where(F.col("size") > HOT).select("key"))
+        usual = rows if hot.isEmpty() else rows.join(hot, "key", "left_anti")
+        near = usual.repartition(deal(spark), "key").sortWithinPartitions("key").mapInArrow(shard, PLACES)
+        if usual is rows:
+            return near
+        several = rows.join(hot, "key", "left_semi").groupBy("seg").agg(F.first("key").alias("key"), F.first("words").alias("words"), F.min("least").alias("least"), F.max("most").alias("most")).select("key", "seg", "words", "least", "most")
+        parts = stored(several.mapInArrow(divide(steps[0]), "key bigint, seg binary, words binary, least bigint, most bigint, roots array<binary>, offs array<bigint>"))
+        if steps[0] == 1:  # a window each
+            whole = parts.groupBy("seg").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
+            inner = whole.select("seg", F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(F.lit(window).cast("bigint")).alias("hi"), F.array("least").alias("first"))
+        else:
+            inner = places_of(parts.select("key", "seg", "words", "least", "most"), steps[1:])
+        back = parts.select("seg", F.explode(F.arrays_zip("roots", "offs")).alias("o")).join(inner, "seg")
+        return near.unionByName(back.select(F.col("o.roots").alias("seg"), F.transform("lo", lambda x: x + F.col("o.offs")).alias("lo"), F.transform("hi", lambda x: x + F.col("o.offs")).alias("hi"), "first"))
 
-    if any_many:
-        distinct = stored(found.join(F.broadcast(many), "key", "left_semi").groupBy("seg").agg(F.first("key").alias("key"), F.first("rep").alias("rep"), F.first("words").alias("words"), F.min("least").alias("least"), F.max("most").alias("most")))
-        sure = distinct.select("rep", "words", "least", "most").mapInArrow(windows, "one bigint, two bigint, least bigint, most bigint, rep bigint").groupBy("one", "two").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("rep").alias("rep")).where("least < most")
-        by_rep = sure.groupBy("rep").agg(F.collect_list(F.struct("one", "two", "least")).alias("sure"))
-        passages = stored(distinct.join(by_rep, "rep").select("key", "words", "sure").mapInArrow(phrases, "key bigint, words binary, at array<int>, firsts array<bigint>"))
-        patterns = passages.join(F.broadcast(many), "key").select("key", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("seg"), "words", "at", "firsts")
-        streamed = distinct.join(F.broadcast(many), "key").select("key", F.pmod(F.xxhash64("seg"), F.col("k").cast("bigint")).cast("int").alias("share"), F.lit(1).alias("kind"), "seg", "words", F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<bigint>").alias("firsts"))
-        places = places.unionByName(patterns.unionByName(streamed).repartition(deal(spark), "key", "share").sortWithinPartitions("key", "share", "kind").mapInArrow(locate, PLACES))
+    places = places_of(found.select("key", "seg", "words", "least", "most"), STEPS)
     where = found.select("seg", F.explode(F.arrays_zip("ids", "tags", "starts")).alias("o")).join(places, "seg").select(F.col("o.ids").alias("id"), F.col("o.tags").alias("tag"), F.col("o.starts").alias("start"), F.explode(F.arrays_zip("lo", "hi", "first")).alias("p"))
     gone = where.where("p.first < id").select("id", "tag", (F.col("start") + F.col("p.lo")).alias("lo"), (F.col("start") + F.col("p.hi")).alias("hi"))
     keep = [k for k, c in enumerate(docs.columns) if c.lower() not in ("n_words", "n_removed")]

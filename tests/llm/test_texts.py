@@ -69,9 +69,9 @@ def test_suffix_dedup(docs, monkeypatch, hot):
         assert sum(s.hi - s.lo for s in r.spans) == r.n_removed
 
 
-@pytest.mark.parametrize("share", [20_000, 2])
-def test_substring_dedup(docs, monkeypatch, share):
-    monkeypatch.setattr("streamtable.llm.substring_dedup.SHARE", share)
+@pytest.mark.parametrize("hot", [1 << 22, 1200, 1])
+def test_substring_dedup(docs, monkeypatch, hot):
+    monkeypatch.setattr("streamtable.llm.substring_dedup.HOT", hot)
     rows, df = docs
     got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in dedup_passages(df).collect()]
     assert none_last(got) == none_last(brute.passages(rows))

@@ -1,19 +1,28 @@
 """Two Bloom filters, for hashes seen once and hashes seen twice, built by hash range.
 
-Tasks send each distinct hash of theirs once (8 bytes) to the range that owns it. The range's task adds what it sees to a
-filter "once", and what that filter already holds to a filter "twice". Only the latter leaves the task. All ranges together
-keep to max_bits; beyond it the filter lets more hashes pass, which costs time and never loses a repeat.
+Tasks send each distinct hash of theirs once (8 bytes) to the range that owns it; there are as many ranges as the measured size
+of the texts asks for, so that a range's hashes fit a task. The range's task adds what it sees to a filter "once", and what that
+filter already holds to a filter "twice". Only the latter leaves the task. While all ranges together keep to max_bits, they are
+broadcast. Beyond that, hashes go to the filter of their range, and what passes comes back to its row; a range with very many
+questions is asked in several tasks. Either way the filters let one in thousands pass wrongly, at every size.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from streamtable.llm._store import deal
+from streamtable.llm import _words
+from streamtable.llm._store import deal, stored
 
 BITS = 1 << 28  # 32 MB: what is broadcast at most
+RANGE = 1 << 27  # bytes of text for which there is a range
+ASKED = 1 << 20  # questions that a task answers for a range
 PER = 24  # bits of a filter for each hash, of which one in 8,000 passes wrongly
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 BLOCKS = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
@@ -92,34 +101,129 @@ class Repeats:
         return out
 
 
-def repeats(blocks: DataFrame, shards: int, max_bits: int = BITS) -> Repeats:
-    """The filter of hashes that came at least twice in blocks, rows as Blocks gives them."""
-    spark = blocks.sparkSession
-    most = max(10, int(max_bits // shards).bit_length() - 1)
+class Maybe:
+    """Tells hashes that the range's filter has let pass."""
 
-    def build(batches):
-        seen: dict[int, list] = {}
+    def __init__(self, column: pa.Array):
+        self.h = np.unique(np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.uint64))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.h, h)
+        return at < len(self.h) if not len(self.h) else self.h[np.minimum(at, len(self.h) - 1)] == h
+
+
+class Test:
+    """Gives, for the column "maybe" of a batch, what tells the hashes of its rows that may be repeated."""
+
+    def __init__(self, shared=None):
+        self.shared, self.own = shared, None
+
+    def __call__(self, column: pa.Array):
+        if self.shared is None:
+            return Maybe(column)
+        if self.own is None:
+            self.own = Repeats(*self.shared.value)
+        return self.own
+
+    def __reduce__(self):
+        return Test, (self.shared,)
+
+
+def suspected(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], max_bits: int = BITS) -> tuple[DataFrame, Test]:
+    """rows, whose last column is text, with a column "maybe" for the test that comes with them.
+
+    hashes: gives, for bytes and offsets of some texts, hashes, each as often as it counts, and where those of each text begin. The first column
+    of rows is their id.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(deal(spark), math.ceil(size / RANGE))
+
+    def told(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for batch in batches:
-            for shard, once, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                seen.setdefault(shard, []).append((once, more))
-        for shard in sorted(seen):
-            rows = seen.pop(shard)
-            once = Bloom(log2_for(sum(len(a) + len(b) for a, b in rows) // 8, PER))
-            twice = []
-            for a, b in rows:
+            for row, data, offs in _words.pieces(batch.column(batch.num_columns - 1)):
+                yield batch, row, *hashes(data, offs)
+
+    def send(batches):
+        out = Blocks(shards)
+        for _, _, h, _ in told(batches):
+            if len(h):
+                yield from out.add(h)
+        yield from out.flush()
+
+    def build(batches):
+        now, kept = None, []
+
+        def filtered():
+            once, twice = Bloom(log2_for(sum(len(a) + len(b) for a, b in kept) // 8, PER)), []
+            for a, b in kept:
                 h, sure = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 twice += [sure, h[once.has(h)]]
                 once.add(h)
                 once.add(sure)
             found = np.unique(np.concatenate(twice))
             if len(found):
-                bloom = Bloom(min(most, log2_for(len(found), PER)))
+                bloom = Bloom(log2_for(len(found), PER))
                 bloom.add(found)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "log2": pa.array([bloom.log2], pa.int32()), "words": pa.array([bloom.words.tobytes()], pa.binary())})
-
-    parts = blocks.repartition(min(shards, deal(spark)), "shard").mapInArrow(build, "shard int, log2 int, words binary")
-    return Repeats(shards, {r["shard"]: (r["log2"], r["words"]) for r in parts.toLocalIterator()})
-
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "log2": pa.array([bloom.log2], pa.int32()), "words": pa.array([bloom.words.tobytes()], pa.binary())})
 
-def shards_for(spark) -> int:
-    return deal(spark)
+        for batch in batches:
+            for shard, once, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now:
+                    if kept:
+                        yield from filtered()
+                    now, kept = shard, []
+                kept.append((once, more))
+        if kept:
+            yield from filtered()
+
+    sent = rows.select("text").mapInArrow(send, BLOCKS_DDL).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    filters = stored(sent.mapInArrow(build, "shard int, log2 int, words binary"))
+    if 8 * (filters.agg(F.sum(F.octet_length("words"))).first()[0] or 0) <= max_bits:
+        parts = {r["shard"]: (r["log2"], bytes(r["words"])) for r in filters.toLocalIterator()}
+        return rows.withColumn("maybe", F.lit(None).cast("binary")), Test(spark.sparkContext.broadcast((shards, parts)))
+
+    key = rows.columns[0]
+    tag = F.xxhash64("text")
+
+    def ask(batches):
+        for batch, row, h, begin in told(batches):
+            out = []
+            for k, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
+                if a == b:
+                    continue
+                own = np.unique(h[a:b])
+                where = shard_of(own, shards)
+                cut = np.flatnonzero(np.diff(where, prepend=-1))
+                out += [(row + k, int(where[x]), own[x:y].tobytes()) for x, y in zip(cut, np.append(cut[1:], len(own)), strict=True)]
+            if out:
+                at = pa.array([x[0] for x in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in out], pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array([x[2] for x in out], pa.binary())], names=["shard", "id", "tag", "h"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    asks = stored(rows.select(F.col(key).alias("id"), tag.alias("tag"), F.col("text")).mapInArrow(ask, f"shard int, id {kind}, tag bigint, h binary"))
+    many = F.broadcast(stored(asks.groupBy("shard").count().where(F.col("count") > ASKED).select("shard", F.ceil(F.col("count") / ASKED).cast("int").alias("k"))))
+    times = F.coalesce("k", F.lit(1))
+    come = asks.join(many, "shard", "left").select("shard", F.pmod("tag", times).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "tag", "h")
+    have = filters.join(many, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), times - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), F.col("log2").cast("bigint").alias("tag"), F.col("words").alias("h"))
+
+    def answer(batches):
+        now, bloom = None, None
+        for batch in batches:
+            out = []
+            for k, (shard, salt, kind, tag, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5)), strict=True)):
+                if not kind:
+                    now, bloom = (shard, salt), Bloom(tag, np.frombuffer(h, np.uint8))
+                elif now == (shard, salt):
+                    h = np.frombuffer(h, np.uint64)
+                    if len(h := h[bloom.has(h)]):
+                        out.append((k, h.tobytes()))
+            if out:
+                at = pa.array([k for k, _ in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(4).take(at), pa.array([h for _, h in out], pa.binary())], names=["id", "tag", "h"])
+
+    met = have.unionByName(come).repartition(max(shards, deal(spark)), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    back = met.mapInArrow(answer, f"id {kind}, tag bigint, h binary").groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list("h").alias("_hs"))
+    joined = rows.withColumn("_own", tag).join(back, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")), "left")
+    parts = F.transform("_hs", lambda h: F.hex(h))
+    return joined.select(*rows.columns, F.unhex(F.array_join(parts, "")).alias("maybe")), Test()

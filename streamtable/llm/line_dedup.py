@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from streamtable.llm._repeats import BLOCKS_DDL, Blocks, Repeats, repeats, shards_for
+from streamtable.llm._repeats import BITS, suspected
 from streamtable.llm._store import small_batches, stored
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -31,7 +31,7 @@ def counts(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "surrogatepass")) >= least)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bits: int = 1 << 28) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bits: int = BITS) -> DataFrame:
     """docs without the lines whose key, of at least min_chars code points, is in a document with a smaller id.
 
     Returns the columns of docs, text_col holding the kept lines joined by "\\n", then n_lines (before) and n_dropped, which
@@ -41,22 +41,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards_for(spark)
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
-    def hashes(batches):
-        out = Blocks(shards)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = {xxhash.xxh3_64_intdigest(k) for k in set(line_keys(text)) if counts(k, min_chars)}
-                if found:
-                    yield from out.add(np.fromiter(found, np.uint64, len(found)))
-        yield from out.flush()
+    def hashes(data, offs):
+        """Of each different key of a text."""
+        raw, out, begin = data.tobytes(), [], [0]
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            out += [xxhash.xxh3_64_intdigest(k) for k in {x.strip(BLANK).lower() for x in raw[a:b].split(b"\n")} if counts(k, min_chars)]
+            begin.append(len(out))
+        return np.array(out, np.uint64), begin
 
-    seen = spark.sparkContext.broadcast(repeats(slim.select("text").mapInArrow(hashes, BLOCKS_DDL), shards, max_filter_bits).state)
+    rows, test = suspected(slim, hashes, max_filter_bits)
 
     def suspects(batches):
-        twice = Repeats(*seen.value)
         held: dict[bytes, list[int]] = {}
         n = 0
 
@@ -67,6 +64,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "h": pa.array([xxhash.xxh3_128_digest(k) for k in keys], pa.binary()), "least": pa.array([x[0] for x in ids], pa.int64()), "most": pa.array([x[-1] for x in ids], pa.int64()), "docs": pa.array(ids, pa.list_(pa.int64()))})
 
         for batch in batches:
+            twice = test(batch.column(2))
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = [k for k in set(line_keys(text)) if counts(k, min_chars)]
                 if keys:
@@ -78,7 +76,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 held, n = {}, 0
         yield from flush()
 
-    found = stored(slim.mapInArrow(suspects, SUSPECTS))
+    found = stored(rows.mapInArrow(suspects, SUSPECTS))
     sure = found.groupBy("key").agg(F.min("least").alias("keep"), F.max("most").alias("last"), F.first("h").alias("h")).where("keep < last").select("h", "keep")
     drops = found.where("size(docs) > 0").select("h", "docs").join(sure, "h").select("h", "keep", F.explode("docs").alias("id")).where("id > keep").groupBy("id").agg(F.collect_set("h").alias("drop"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), F.col(id_col).cast("bigint").alias("own"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from streamtable.llm import _spans, _words
-from streamtable.llm._repeats import BLOCKS_DDL, Blocks, Repeats, repeats, shards_for
+from streamtable.llm._repeats import BITS, suspected
 from streamtable.llm._store import deal, small_batches, stored
 
 GRAM = 16  # words
@@ -128,7 +128,7 @@ class Automata:
         return sorted(out)
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_filter_bits: int = BITS) -> DataFrame:
     """docs without the words covered by a window of so many words that also starts in a document with a smaller id.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Returns the columns of docs, text_col holding the kept words joined by one space, then
@@ -138,25 +138,20 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards_for(spark)
     slim = _spans.tagged(docs, id_col, text_col).where("id is not null")
 
-    def hashes(batches):
-        out = Blocks(shards)
-        for batch in batches:
-            for _, data, offs in _words.pieces(batch.column(0)):
-                _, (doc, _, _, key) = segments(data, offs, window)
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                yield from out.add(key[new])
-        yield from out.flush()
+    def hashes(data, offs):
+        """Of each different key of a text."""
+        _, (doc, _, _, key) = segments(data, offs, window)
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        return key[new], np.searchsorted(doc[new], np.arange(len(offs)))
 
-    seen = spark.sparkContext.broadcast(repeats(slim.select("text").mapInArrow(hashes, BLOCKS_DDL), shards).state)
+    rows, test = suspected(slim, hashes, max_filter_bits)
 
     def suspects(batches):
-        twice = Repeats(*seen.value)
         held: dict[bytes, list] = {}
         n = 0
 
@@ -169,6 +164,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     "ids": pa.array([r[2] for _, r in rows], pa.list_(pa.int64())), "tags": pa.array([r[3] for _, r in rows], pa.list_(pa.int64())), "starts": pa.array([r[4] for _, r in rows], pa.list_(pa.int64()))})
 
         for batch in batches:
+            twice = test(batch.column(3))
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for row, data, offs in _words.pieces(batch.column(2)):
                 w, (doc, a, b, key) = segments(data, offs, window)
@@ -189,7 +185,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 held, n = {}, 0
         yield from flush()
 
-    found = stored(slim.mapInArrow(suspects, "key bigint, seg binary, words binary, least bigint, most bigint, ids array<bigint>, tags array<bigint>, starts array<bigint>"))
+    found = stored(rows.mapInArrow(suspects, "key bigint, seg binary, words binary, least bigint, most bigint, ids array<bigint>, tags array<bigint>, starts array<bigint>"))
     def shard(batches):
         now, group = None, {}
 

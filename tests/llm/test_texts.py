@@ -52,8 +52,17 @@ def test_line_dedup(docs):
     assert none_last(got) == none_last(brute.lines(rows))
 
 
-def test_line_dedup_with_a_full_filter(docs):
+def test_filters_met_by_range(docs, monkeypatch):
+    """Filters too large for a broadcast, in many ranges, each asked in several tasks."""
+    monkeypatch.setattr("streamtable.llm._repeats.RANGE", 5000)
+    monkeypatch.setattr("streamtable.llm._repeats.ASKED", 3)
     rows, df = docs
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)) for r in dedup_bytes(df, max_filter_bits=1).collect()]
+    assert none_last(got) == none_last(brute.bytes_(rows))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in dedup_passages(df, max_filter_bits=1).collect()]
+    assert none_last(got) == none_last(brute.passages(rows))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, max_filter_bits=1).collect()]
+    assert none_last(got) == none_last(brute.components(rows))
     got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(df, max_filter_bits=1).collect()]
     assert none_last(got) == none_last(brute.lines(rows))
 

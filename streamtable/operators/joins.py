@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SIDE_BYTES = 64 << 20  # a side input up to this size by Spark's estimate is broadcast; larger ones are shuffled
+SIDE_BYTES = 64 << 20  # of an iterable side input, as measured; larger ones are refused
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def side(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its size is known to allow that."""
-    return F.broadcast(df) if estimated_bytes(df) <= SIDE_BYTES else df
+def measured_bytes(df: DataFrame, column: str) -> int:
+    """The size of a column's values as text, from a run over df: estimates are wrong above explodes and for compressed files."""
+    return int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0)) + 8)).first()[0] or 0)
 
 
 def singleton_side_input(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -27,7 +23,7 @@ def singleton_side_input(df: DataFrame, one: DataFrame) -> DataFrame:
 
 def iterable_side_input(df: DataFrame, many: DataFrame, column: str, name: str) -> DataFrame:
     """df with the whole of a column of a small collection as a sorted array in each row. A collection beyond SIDE_BYTES is refused: join it."""
-    if estimated_bytes(many) > SIDE_BYTES:
+    if measured_bytes(many, column) > SIDE_BYTES:
         raise ValueError("this collection is too large for an iterable side input; use a join")
     return df.crossJoin(F.broadcast(many.agg(F.array_sort(F.collect_list(column)).alias(name))))
 
@@ -35,7 +31,7 @@ def iterable_side_input(df: DataFrame, many: DataFrame, column: str, name: str)
 def multimap_side_input(df: DataFrame, many: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """df with the array of values of its key, sorted, empty if there are none."""
     grouped = many.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
-    joined = df.join(side(grouped), key, "left")
+    joined = df.join(grouped, key, "left")  # adaptive execution broadcasts what turns out to be small
     return joined.withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
 
 
@@ -48,12 +44,12 @@ def windowed_side_input(df: DataFrame, many: DataFrame, window: Column, side_win
 def co_group_by_key(sides: dict[str, tuple[DataFrame, str]], key: str, how: str = "full") -> DataFrame:
     """key and, for each side, the sorted array of its values. sides: name -> (collection with key, value column).
 
-    how: full keeps every key; inner those in all sides; left and right those of the first and of the last one.
+    how: full keeps every key; inner those in all sides; left and right those of the first and of the last one. Null is a key like others.
     """
-    grouped = [df.groupBy(key).agg(F.array_sort(F.collect_list(v)).alias(n)) for n, (df, v) in sides.items()]
-    out = grouped[0]
-    for g in grouped[1:]:
-        out = out.join(g, key, how)
+    grouped = [df.groupBy(F.col(key).alias(f"_key{i}")).agg(F.array_sort(F.collect_list(v)).alias(n)) for i, (n, (df, v)) in enumerate(sides.items())]
+    out = grouped[0].withColumnRenamed("_key0", key)
+    for i, g in enumerate(grouped[1:], 1):
+        out = out.join(g, F.col(key).eqNullSafe(F.col(f"_key{i}")), how).withColumn(key, F.coalesce(key, f"_key{i}"))
     return out.select(key, *(F.coalesce(n, F.array().cast(out.schema[n].dataType)).alias(n) for n in sides))
 
 
@@ -63,10 +59,18 @@ def equi_join(left: DataFrame, right: DataFrame, on: Column | str | list[str], h
 
 
 def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= at <= high, at in left and the range in right. Both are cut into bins of a width, so this is an equi-join; a row of right goes to each bin that its range meets."""
-    points = left.withColumn("_bin", F.floor(F.col(at) / width))
-    spans = right.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return points.join(spans, "_bin").where(F.col(at).between(F.col(low), F.col(high))).drop("_bin")
+    """Pairs with low <= at <= high, at in left and the range in right, by an equi-join on bins.
+
+    A range goes to bins of a width that is at least its length (width, or that times a power of four), so to two of them at most,
+    and a point to its bin at each width that some range has. Ranges that end before they begin, or with a null, are in no pair.
+    """
+    length = F.greatest((F.col(high) - F.col(low)).cast("double") / width, F.lit(1.0))
+    spans = right.where(F.col(low) <= F.col(high)).withColumn("_level", F.ceil(F.log2(length) / 2 - 1e-9).cast("int"))
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())  # no more than there are powers of four
+    bin_of = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(4.0), F.col("_level"))))
+    spans = spans.withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    points = left.withColumn("_level", F.explode(F.array(*(F.lit(k) for k in levels)).cast("array<int>"))).withColumn("_bin", bin_of(at))
+    return points.join(spans, ["_level", "_bin"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_bin", "_level")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, name: str, tie: str | None = None) -> DataFrame:

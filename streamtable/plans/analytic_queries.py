@@ -104,3 +104,9 @@ def scalar_map(t, spark):
 @query("select event_id, coalesce(nullif(event_type, 'error'), 'none') as t, case when value > 50 then 'hi' when value > 10 then 'mid' else 'lo' end as c, if(value is null, 0, 1) as i from events")
 def scalar_conditional(t, spark):
     return t("events").selectExpr("event_id", "coalesce(nullif(event_type, 'error'), 'none') as t", "case when value > 50 then 'hi' when value > 10 then 'mid' else 'lo' end as c", "if(value is null, 0, 1) as i")
+
+
+@query("""with m as (select event_type, avg(value) as a from events group by 1)
+    select event_type, round(avg(pow(value - a, 3)) / pow(avg(pow(value - a, 2)), 1.5), 4) as skew, round(avg(pow(value - a, 4)) / pow(avg(pow(value - a, 2)), 2) - 3, 4) as kurt from events join m using (event_type) group by 1""")
+def higher_moments(t, spark):
+    return t("events").where("event_type is not null").groupBy("event_type").agg(F.round(F.skewness("value"), 4).alias("skew"), F.round(F.kurtosis("value"), 4).alias("kurt"))

@@ -144,19 +144,33 @@ def latest_per_key(t, spark):
     return grouping.latest_per_key(t("events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query()
+@query("select event_type, least(count(*), 10) as n, least(count(*), 10) as own, true as other from events group by 1")
 def sample_per_key(t, spark):
-    return grouping.sample_per_key(t("events").select("event_type", "event_id"), ["event_type"], 10, "event_id")
+    """How many elements of each key are drawn, how many of these are the key's own, and whether another seed draws others."""
+    e = t("events").select("event_type", "event_id")
+    a, b = (grouping.sample_per_key(e, ["event_type"], 10, "event_id", seed=s) for s in (0, 1))
+    own = a.join(e, ["event_type", "event_id"]).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("own"))
+    both = a.join(b, ["event_type", "event_id"]).groupBy("event_type").agg(F.count("*").alias("both"))
+    return own.join(both, "event_type", "left").select("event_type", "n", "own", (F.coalesce("both", F.lit(0)) < 10).alias("other"))
 
 
-@query()
+@query("select event_type, true as close from events group by 1")
 def approx_unique(t, spark):
-    return grouping.combine_per_key(t("events"), ["event_type"], "approx_distinct", "user_id", "n")
+    """Whether the estimate is within a tenth of the number."""
+    about = grouping.combine_per_key(t("events"), ["event_type"], "approx_distinct", "user_id", "n")
+    sure = t("events").groupBy(F.col("event_type").alias("e")).agg(F.count_distinct("user_id").alias("m"))
+    return about.join(sure, F.col("event_type").eqNullSafe(F.col("e"))).select("event_type", (F.abs(F.col("n") - F.col("m")) <= F.col("m") / 10).alias("close"))
 
 
-@query()
+@query("select event_type, true as close from events group by 1")
 def approx_quantiles(t, spark):
-    return grouping.approximate_quantiles(t("events"), ["event_type"], "value", [0.25, 0.5, 0.75])
+    """Whether each estimate's rank is within a hundredth of what was asked for."""
+    points = [0.25, 0.5, 0.75]
+    about = grouping.approximate_quantiles(t("events"), ["event_type"], "value", points)
+    met = t("events").join(about.withColumnRenamed("event_type", "e"), F.col("event_type").eqNullSafe(F.col("e")))
+    below = [(F.count_if(F.col("value") < F.col("quantiles")[k]) / F.count("value"), F.count_if(F.col("value") <= F.col("quantiles")[k]) / F.count("value"), p) for k, p in enumerate(points)]
+    close = [(low - 0.01 <= p) & (high + 0.01 >= p) for low, high, p in below]
+    return met.groupBy("event_type").agg((close[0] & close[1] & close[2]).alias("close"))
 
 
 @query("select distinct user_id, event_type from events")

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-# Names of transforms that this library has an operator for: all others are refused when a pipeline is prepared.
+# Names of transforms that this library has an operator for. All others are refused when a pipeline is prepared.
 KNOWN = frozenset(
     f"beam:transform:{n}:v1"
     for n in (
@@ -24,7 +24,7 @@ KNOWN = frozenset(
     ).split()
 )
 # Requirements of pipelines that are met.
-REQUIREMENTS = frozenset(f"beam:requirement:pardo:{n}:v1" for n in "stateful splittable_dofn time_sorted_input stable_input finalization on_window_expiration".split())
+REQUIREMENTS = frozenset(f"beam:requirement:pardo:{n}:v1" for n in "stateful splittable_dofn time_sorted_input".split())
 
 
 @dataclass

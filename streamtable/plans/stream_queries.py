@@ -9,7 +9,7 @@ from streamtable.operators.windows import FixedWindows, Sessions, SlidingWindows
 from streamtable.plans.registry import query
 from streamtable.plans.window_queries import _SESSIONS
 from streamtable.streaming import replay
-from streamtable.streaming.stateful import CountInBag, Quiet, fire_panes
+from streamtable.streaming.stateful import CountInBag, LastAndCounts, Quiet, fire_panes
 from streamtable.streaming.triggers import ACCUMULATING, DISCARDING, RETRACTING, AfterEndOfWindow, ElementCount, Repeat, Strategy
 
 
@@ -103,6 +103,23 @@ def trigger_end_of_window(t, spark):
     return out.where("event_type is not null").groupBy("event_type", "window_end").agg(F.sum("value").alias("n")).where("n > 0")
 
 
+@query("select user_id, p.i as pane_index, p.i = 0 as is_first, false as is_last, 'early' as timing, -1 as on_time_index, 20 as value from (select user_id, count(*) // 20 as k from events group by 1) join range(100000) p(i) on p.i < k")
+def pane_info(t, spark):
+    """What each pane tells of itself."""
+    out = _counted(t, DISCARDING)
+    return out.select("user_id", F.col("pane_index").cast("bigint").alias("pane_index"), "is_first", "is_last", "timing", "on_time_index", F.col("value").cast("int").alias("value"))
+
+
+@query("select user_id, count(*) as n, max_by(event_type, struct_pack(a := ts, b := event_id)) as last from events group by 1")
+def stream_value_and_map_state(t, spark):
+    replay.use_state_store(spark)
+    stream = _events(t, flush=False).select("user_id", "event_type", "event_id", "ts")
+    out = replay.run(stream.groupBy("user_id").transformWithStateInPandas(LastAndCounts(), "user_id bigint, n bigint, last string, kinds string", "Append", "none"))
+    kinds = F.transform(F.split("kinds", ","), lambda x: F.split(x, "=")[1].cast("bigint"))
+    final = out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("last", "n").alias("last"), F.max_by(F.aggregate(kinds, F.lit(0).cast("bigint"), lambda a, v: a + v), "n").alias("in_map"))
+    return final.where("n = in_map").select("user_id", "n", "last")
+
+
 @query("select 'a' as k, 3 as n union all select 'b', 1")
 def test_stream(t, spark):
     events = replay.TestStream(spark, "k string, ts timestamp", "ts")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from streamtable.streaming.replay import use_state_store
+from streamtable.streaming.replay import FAR, use_state_store
 from streamtable.streaming.triggers import Combiner, Moment, Strategy, close, new_state, step
 
 
@@ -138,8 +138,8 @@ class OrderedListState:
 class Panes(StatefulProcessor):
     """Fires the panes of a (key, window) under a strategy. The last part of the key is the window's end in milliseconds, null for the global window."""
 
-    def __init__(self, strategy: Strategy, combiner: Combiner, value: str, keys: list[str], lateness: int):
-        self.strategy, self.combiner, self.value, self.keys, self.lateness = strategy, combiner, value, keys, lateness
+    def __init__(self, strategy: Strategy, combiner: Combiner, value: str, keys: list[str], lateness: int, whole: bool):
+        self.strategy, self.combiner, self.value, self.keys, self.lateness, self.whole = strategy, combiner, value, keys, lateness, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("panes", one("v", "binary"))
@@ -159,7 +159,8 @@ class Panes(StatefulProcessor):
         at, panes = self._moment(key, timerValues), []
         for pdf in rows:
             order = np.argsort(pdf["event_order"].to_numpy(), kind="stable")
-            panes += step(self.strategy, s, self.combiner, pdf[self.value].to_numpy()[order].tolist(), at)
+            values = pdf[self.value].iloc[order]
+            panes += step(self.strategy, s, self.combiner, [None if v is None or v != v else int(v) if self.whole else v for v in values.tolist()], at)
         if fresh and key[-1] is not None and key[-1] == key[-1]:
             for t in {int(key[-1]), int(key[-1]) + self.lateness}:
                 if t > timerValues.getCurrentWatermarkInMs():
@@ -184,15 +185,19 @@ class Panes(StatefulProcessor):
 def fire_panes(stream: DataFrame, keys: list[str], value: str, ts: str, kind: str, strategy: Strategy, size: str | None = None, combiner: Combiner | None = None, delay: str = "0 seconds", lateness_ms: int = 0) -> DataFrame:
     """keys, window_end (milliseconds, null if global), value and the pane's fields, for each pane of fixed windows (size) or the global one.
 
-    The watermark trails the latest event by delay; elements later than that by no more than lateness_ms still count.
+    The watermark trails the latest event by delay; elements later than that by no more than lateness_ms still count. Null elements are
+    elements: they count for triggers, and the combiner is given them (the default one adds nothing for them).
     """
     use_state_store(stream.sparkSession)
     timed = stream.withWatermark(ts, delay)
     end = F.unix_millis(F.window(ts, size)["end"]) if size else F.lit(None).cast("bigint")
     rows = timed.select(*keys, end.alias("window_end"), F.col(value).alias("element"), F.unix_micros(ts).alias("event_order"), F.col(ts).alias("event_time"))
-    rows = rows.where(F.col("element").isNotNull())
+    # rows that only advance the watermark go; naming the event time keeps this above the watermark
+    rows = rows.where(F.col("event_time") < F.lit(FAR).cast("timestamp"))
+    if "_mark" in stream.columns:
+        rows = timed.where(~F.col("_mark") & F.col(ts).isNotNull() & (F.col(ts) < F.lit(FAR).cast("timestamp"))).select(*keys, end.alias("window_end"), F.col(value).alias("element"), F.unix_micros(ts).alias("event_order"), F.col(ts).alias("event_time"))
     schema = StructType([*[f for f in rows.schema if f.name in (*keys, "window_end")], *StructType.fromDDL(f"value {kind}, retraction boolean, is_first boolean, is_last boolean, timing string, pane_index int, on_time_index int").fields])
-    return rows.groupBy(*keys, "window_end").transformWithStateInPandas(Panes(strategy, combiner or Combiner(), "element", [*keys, "window_end"], lateness_ms), schema, "Append", "EventTime")
+    return rows.groupBy(*keys, "window_end").transformWithStateInPandas(Panes(strategy, combiner or Combiner(), "element", [*keys, "window_end"], lateness_ms, isinstance(rows.schema["element"].dataType, T.IntegralType)), schema, "Append", "EventTime")
 
 
 class CountInBag(StatefulProcessor):
@@ -212,6 +217,21 @@ class CountInBag(StatefulProcessor):
         yield pd.DataFrame({"user_id": [key[0]], "n": [len(self.bag.read())], "kinds": [len(self.kinds.keys())], "pairs": [sum(len(self.by_kind.get(k)) for k in self.by_kind.keys())], "total": [self.total.read()]})
 
 
+class LastAndCounts(StatefulProcessor):
+    """Per key: how many elements there were, the latest kind, and how often each kind came."""
+
+    def init(self, handle):
+        self.last, self.n, self.by_kind = ReadModifyWriteState(handle, "last", "string"), ReadModifyWriteState(handle, "n", "bigint"), MapState(handle, "by_kind", "string", "bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            for kind in pdf.sort_values(["ts", "event_id"])["event_type"].tolist():
+                self.last.write(kind)
+                self.n.write(self.n.read(0) + 1)
+                self.by_kind.put(kind, self.by_kind.get(kind, 0) + 1)
+        yield pd.DataFrame({"user_id": [key[0]], "n": [self.n.read(0)], "last": [self.last.read()], "kinds": [",".join(f"{k}={v}" for k, v in self.by_kind.items())]})
+
+
 class Quiet(StatefulProcessor):
     """Sessions by timer: the elements of a key are kept in time order until the key has been quiet for a gap."""
 

@@ -244,7 +244,7 @@ class Combiner:
     """How values of a window come together. The default adds."""
 
     def add(self, a: Any, v: Any) -> Any:
-        return v if a is None else a + v
+        return a if v is None else v if a is None else a + v
 
     def empty(self) -> Any:
         return 0

@@ -215,3 +215,32 @@ def test_expansion_checks_its_configuration(spark):
     for urn, config, error in (("nothing", {}, ValueError), ("streamtable:top:v1", {"keys": ["k"]}, ValueError), ("streamtable:filter:v1", {"predicate": 1}, TypeError), ("streamtable:flatten:v1", {"x": 1}, ValueError)):
         with pytest.raises(error):
             expand(urn, config, df)
+
+
+def test_co_groups_keep_null_keys(spark):
+    a = spark.createDataFrame([(None, 1), (1, 2), (None, 3)], "k int, x int")
+    b = spark.createDataFrame([(None, 4), (2, 5)], "k int, y int")
+    got = sorted(((r.k, r.xs, r.ys) for r in joins.co_group_by_key({"xs": (a, "x"), "ys": (b, "y")}, "k").collect()), key=str)
+    assert got == [(1, [2], []), (2, [], [5]), (None, [1, 3], [4])]
+
+
+def test_range_join_of_long_and_short_ranges(spark):
+    points = spark.createDataFrame([(float(i),) for i in range(-50, 200, 3)], "at double")
+    spans = [(0.0, 0.0), (-1000.0, 1000.0), (5.0, 4.0), (1.5, 7.0), (10.0, 10.5), (None, 3.0), (100.0, 163.0)]
+    df = spark.createDataFrame(spans, "low double, high double")
+    got = sorted((r.at, r.low, r.high) for r in joins.range_join(points, df, "at", "low", "high", 2.0).collect())
+    assert got == sorted((float(i), a, b) for i in range(-50, 200, 3) for a, b in spans if a is not None and a <= i <= b)
+    assert joins.range_join(points, df.limit(0), "at", "low", "high", 2.0).collect() == []
+
+
+def test_panes_take_null_elements(spark):
+    import datetime
+
+    from streamtable.streaming import replay
+    from streamtable.streaming.stateful import fire_panes
+    from streamtable.streaming.triggers import DISCARDING, ElementCount, Repeat, Strategy
+
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    df = spark.createDataFrame([("a", at(1), 5), ("a", at(2), None), ("a", at(3), None), ("a", at(4), 7)], "k string, ts timestamp, v bigint")
+    out = replay.run(fire_panes(replay.staged(df, "ts", 1), ["k"], "v", "ts", "bigint", Strategy(Repeat(ElementCount(2)), DISCARDING))).orderBy("pane_index").collect()
+    assert [(r.k, r.pane_index, r.value) for r in out] == [("a", 0, 5), ("a", 1, 7)]

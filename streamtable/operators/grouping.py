@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def group_by_key(df: DataFrame, *keys: str, value: str = "value", sort: bool = False) -> DataFrame:
@@ -91,6 +91,32 @@ def group_into_batches(df: DataFrame, keys: list[str], size: int, *order: str, b
     return df.withColumn(batch, F.floor((number - 1) / size).cast("bigint")).groupBy(*keys, batch).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("elements"))
 
 
+def group_into_batches_by_bytes(df: DataFrame, keys: list[str], most: int, weight: Column, *order: str, batch: str = "batch") -> DataFrame:
+    """keys, batch (from 0) and elements: a key's elements in an order, as many in a batch as together weigh no more than most, one at least.
+
+    Where a batch ends depends on the ones before, so a key's rows pass one task in order, without being held; hot keys as in group_into_batches.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    schema = StructType([*df.schema.fields, StructField("_w", LongType()), StructField(batch, LongType())])
+
+    def number(batches):
+        now, total, n = None, 0, 0
+        for b in batches:
+            out = []
+            for key, w in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), b.column("_w").to_pylist(), strict=True):
+                if key != now:
+                    now, total, n = key, w, 0
+                elif total + w > most:
+                    total, n = w, n + 1
+                else:
+                    total += w
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[f.name for f in schema])
+
+    told = df.withColumn("_w", F.coalesce(weight, F.lit(0)).cast("bigint")).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(number, schema)
+    return told.groupBy(*keys, batch).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("elements"))
+
+
 def sharded_key(df: DataFrame, shards: int, *identity: str, name: str = "shard") -> DataFrame:
     """df with a shard number from the hash of what identifies an element, to be part of a hot key."""
     return df.withColumn(name, F.pmod(F.xxhash64(*identity), F.lit(shards)).cast("int"))

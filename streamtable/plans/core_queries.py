@@ -39,17 +39,19 @@ def filter_by(t, spark):
     return core.filter_by(t("events"), "event_type = 'purchase' and value > 50").select("event_id", "user_id", "value")
 
 
-@query("select event_id, upper(event_type) as event_type from events where event_id % 3 = 0")
+@query("select event_id, upper(event_type) as output from events union all select event_id, 'paid' from events where event_type = 'purchase'")
 def par_do(t, spark):
+    """One output of each event, and another of purchases."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def do(batches):
         for b in batches:
-            kept = b.filter(pc.equal(pc.subtract(b.column(0), pc.multiply(pc.divide(b.column(0), 3), 3)), 0))
-            yield pa.RecordBatch.from_arrays([kept.column(0), pc.utf8_upper(kept.column(1))], names=["event_id", "event_type"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.utf8_upper(b.column(1))], names=["event_id", "output"])
+            paid = b.filter(pc.equal(b.column(1), "purchase")).column(0)
+            yield pa.RecordBatch.from_arrays([paid, pa.array(["paid"] * len(paid), pa.string())], names=["event_id", "output"])
 
-    return core.par_do(t("events").select("event_id", "event_type"), do, "event_id bigint, event_type string")
+    return core.par_do(t("events").select("event_id", "event_type"), do, "event_id bigint, output string")
 
 
 @query("select case when value >= 50 then 'large' else 'small' end as output, count(*) as n, sum(event_id)::bigint as ids from events where value is not null group by 1")
@@ -184,6 +186,15 @@ def group_into_batches(t, spark):
     return out.select("o_custkey", "batch", F.explode("elements.o_orderkey").alias("o_orderkey"))
 
 
+@query("""with recursive o as (select o_custkey, o_orderkey, length(o_orderkey::varchar) as w, row_number() over (partition by o_custkey order by o_orderkey) as r from orders),
+    g as (select o_custkey, o_orderkey, r, w as total, 0::bigint as batch from o where r = 1 union all
+    select o.o_custkey, o.o_orderkey, o.r, case when g.total + o.w > 12 then o.w else g.total + o.w end, case when g.total + o.w > 12 then g.batch + 1 else g.batch end from g join o on o.o_custkey = g.o_custkey and o.r = g.r + 1)
+    select o_custkey, batch, o_orderkey from g""")
+def group_into_batches_by_bytes(t, spark):
+    out = grouping.group_into_batches_by_bytes(t("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], 12, F.octet_length(F.col("o_orderkey").cast("string")), "o_orderkey")
+    return out.select("o_custkey", "batch", F.explode("elements.o_orderkey").alias("o_orderkey"))
+
+
 @query("select event_type, count(*) as n from events group by 1")
 def group_into_batches_sharded(t, spark):
     sharded = grouping.sharded_key(t("events").select("event_type", "event_id"), 4, "event_id")

@@ -35,7 +35,7 @@ SIDE = 2  # words on either side that the network sees one by one
 WIDE = 16  # and as a mean vector
 START_DIMS, DIMS = 16, 8  # of vectors
 UNIT = 1 << 10  # vectors are multiples of a part in so many
-WIDTH, HIDDEN = 12, 32
+WIDTH, HIDDEN = 8, 32
 BLOCK = 2_000_000  # words of a block
 BLOCKS = 1 << 16  # at most; blocks of larger corpora have more words
 WARM = 500_000  # positions, at least if there are as many, that make the common start
@@ -99,8 +99,8 @@ def bounds(first: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
 def sides(vectors: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, a: int, b: int):
     """Sums of vectors over up to WIDE words on the left and on the right of the positions from a to b, and how many these are."""
     s, t = max(a - WIDE, 0), min(b + WIDE, len(ids))
-    run = np.zeros((t - s + 1, vectors.shape[1]))
-    np.cumsum(vectors[ids[s:t]], axis=0, out=run[1:])
+    run = np.zeros((t - s + 1, vectors.shape[1]), np.int32 if vectors.dtype == np.int32 else np.float64)
+    np.cumsum(vectors[ids[s:t]], axis=0, out=run[1:])  # whole numbers may run over, which their differences don't feel
     i = np.arange(a, b)
     lo, hi = np.maximum(i - WIDE, low), np.minimum(i + 1 + WIDE, high)
     return run[i - s] - run[lo - s], run[hi - s] - run[i + 1 - s], i - lo, hi - i - 1
@@ -128,8 +128,10 @@ def start() -> list[np.ndarray]:
 def forward(p: list[np.ndarray], near: np.ndarray, wide: np.ndarray):
     e = np.concatenate([p[0][near].reshape(len(near), -1), wide], axis=1)
     h = np.tanh(e @ p[1] + p[2])
-    z = h @ p[3] + p[4]
-    z -= z.max(axis=1, keepdims=True)
+    z = h @ p[3]
+    z += p[4]
+    if np.abs(p[3]).sum(axis=0).max() + np.abs(p[4]).max() > 80:  # else no exponential runs over, as no h is beyond 1
+        z -= z.max(axis=1, keepdims=True)
     return e, h, z
 
 
@@ -258,8 +260,20 @@ def classed(vectors: np.ndarray, count: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
+def frequent(counted: DataFrame) -> DataFrame:
+    """About the VOCABULARY most frequent words of (h, n), found without sorting: eighths of powers of two of n from the top, the last one by hash."""
+    level = F.floor(F.log2("n") * 8)
+    left, last = VOCABULARY, -1
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if r["count"] >= left:
+            last, part = r["level"], max(left - 4 * math.sqrt(left), 0) / r["count"]
+            return counted.where((level > last) | (level == last) & (F.col("h").bitwiseAND((1 << 30) - 1) < int(part * (1 << 30))))
+        left -= r["count"]
+    return counted
+
+
 def quantized(vectors: np.ndarray) -> np.ndarray:
-    return np.rint(vectors * UNIT)
+    return np.rint(np.clip(vectors, -1000, 1000) * UNIT).astype(np.int32)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
@@ -286,7 +300,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         yield from flush()
 
     counted = stored(texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
-    most = sorted(((-r["n"], r["h"]) for r in counted.orderBy(F.desc("n"), "h").limit(VOCABULARY).toLocalIterator()))
+    most = sorted((-r["n"], r["h"]) for r in frequent(counted).toLocalIterator())[:VOCABULARY]
     words = Words(np.array([h for _, h in most], np.int64).view(np.uint64))
     known = {h: -n for n, h in most}
     # what is left of each bucket without the vocabulary: positions and different words
@@ -345,8 +359,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
         sums = summed(encoded.select("ids"), meet, IDS * (vectors.shape[1] + 1)).reshape(IDS, -1)
         vectors, strength = turned(sums[:, :-1] / UNIT, sums[:, -1], number)
+        vectors, strength = vectors[:, :DIMS], strength[:DIMS]
         known_vectors.destroy()
-    vectors, strength = vectors[:, :DIMS], strength[:DIMS]
     seen = np.flatnonzero(number)
     classes = np.full(IDS, CLASSES - 1, np.int16)
     if len(seen):

@@ -21,7 +21,8 @@ from streamtable.llm import _words
 from streamtable.llm._store import deal, stored
 
 BITS = 1 << 28  # 32 MB: what is broadcast at most
-RANGE = 1 << 27  # bytes of text for which there is a range
+RANGE = 1 << 27  # bytes of text for which there is a range, at most
+LITTLE = 1 << 24  # as much is not shared by two
 ASKED = 1 << 20  # questions that a task answers for a range
 PER = 24  # bits of a filter for each hash, of which one in 8,000 passes wrongly
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
@@ -137,7 +138,7 @@ def suspected(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tuple[
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(deal(spark), math.ceil(size / RANGE))
+    shards = max(1, min(deal(spark), math.ceil(size / LITTLE)), math.ceil(size / RANGE))
 
     def told(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for batch in batches:

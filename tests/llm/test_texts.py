@@ -55,6 +55,7 @@ def test_line_dedup(docs):
 def test_filters_met_by_range(docs, monkeypatch):
     """Filters too large for a broadcast, in many ranges, each asked in several tasks."""
     monkeypatch.setattr("streamtable.llm._repeats.RANGE", 5000)
+    monkeypatch.setattr("streamtable.llm._repeats.LITTLE", 5000)
     monkeypatch.setattr("streamtable.llm._repeats.ASKED", 3)
     rows, df = docs
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)) for r in dedup_bytes(df, max_filter_bits=1).collect()]

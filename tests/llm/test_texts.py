@@ -127,6 +127,37 @@ def test_pipeline_keeps_one_of_near_copies(spark):
     assert all(i is None or i == c for i, _, c in brute.components(rows))
 
 
+def test_jaccard_join_of_texts_that_share_passages(spark, monkeypatch):
+    """A chain of long texts, each with a passage of the one before, is no cluster whose blocks meet all others: little is shuffled."""
+    monkeypatch.setattr("streamtable.llm.jaccard_join.BLOCK", 4)
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randrange(10**7)}" for _ in range(n))
+    passages = [prose(120) for _ in range(161)]
+    rows = [(k, f"{passages[k]} {prose(160)} {passages[k + 1]}") for k in range(160)]
+    rows += [(200 + k, f"{t} {prose(20)}") for k, t in rows[::10]] + [(400 + k, t) for k, t in rows[::20]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    sent = lambda: sum(x.totalShuffleWrite() for x in (lambda xs: [xs.apply(i) for i in range(xs.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    before = sent()
+    got = [(x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in jaccard_components(df, words=5, percent=80).collect()]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sent() - before < 6 * sum(len(t) for _, t in rows)
+    sets = {i: brute.shingle_set(t, 5) for i, t in rows}
+    links = {i: [j for j, t in sets.items() if 100 * len(s & t) >= 80 * len(s | t)] for i, s in sets.items()}  # of one text and its copies
+    assert max(map(len, links.values())) == 3
+    assert sorted(got) == sorted((i, len(s), min(links[i]), len(links[i]) - 1) for i, s in sets.items())
+
+
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    """Rows of one id are one node, also where their texts have nothing in common."""
+    r = random.Random(3)
+    prose = lambda n: " ".join(f"w{r.randrange(10**7)}" for _ in range(n))
+    x, y, z, alone = (prose(80) for _ in range(4))
+    rows = [(5, x), (5, y), (3, y), (7, x + " " + prose(2)), (9, y + " " + prose(2)), (7, z), (11, z), (12, alone), (13, prose(50)), (13, alone)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert none_last(got) == none_last(brute.components(rows))
+
+
 def test_local_links_of_many_similar_sets():
     import numpy as np
 

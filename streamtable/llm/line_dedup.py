@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from streamtable.llm._repeats import BITS, suspected
-from streamtable.llm._store import small_batches, stored
+from streamtable.llm._store import held, small_batches
 
 BLANK = b" \t\n\x0b\x0c\r"
 SUSPECTS = "key binary, h binary, least bigint, most bigint, docs array<bigint>"
@@ -54,13 +54,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, test = suspected(slim, hashes, max_filter_bits)
 
     def suspects(batches):
-        held: dict[bytes, list[int]] = {}
+        seen: dict[bytes, list[int]] = {}
         n = 0
 
         def flush():
-            if held:
-                keys = list(held)
-                ids = [sorted(set(held[k])) for k in keys]
+            if seen:
+                keys = list(seen)
+                ids = [sorted(set(seen[k])) for k in keys]
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "h": pa.array([xxhash.xxh3_128_digest(k) for k in keys], pa.binary()), "least": pa.array([x[0] for x in ids], pa.int64()), "most": pa.array([x[-1] for x in ids], pa.int64()), "docs": pa.array(ids, pa.list_(pa.int64()))})
 
         for batch in batches:
@@ -69,14 +69,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys = [k for k in set(line_keys(text)) if counts(k, min_chars)]
                 if keys:
                     for j in np.flatnonzero(twice.has(np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys)))):
-                        held.setdefault(keys[j], []).append(i)
+                        seen.setdefault(keys[j], []).append(i)
                         n += 1
             if n >= 200_000:
                 yield from flush()
-                held, n = {}, 0
+                seen, n = {}, 0
         yield from flush()
 
-    found = stored(rows.mapInArrow(suspects, SUSPECTS))
+    found = held(rows.mapInArrow(suspects, SUSPECTS))
     sure = found.groupBy("key").agg(F.min("least").alias("keep"), F.max("most").alias("last"), F.first("h").alias("h")).where("keep < last").select("h", "keep")
     drops = found.where("size(docs) > 0").select("h", "docs").join(sure, "h").select("h", "keep", F.explode("docs").alias("id")).where("id > keep").groupBy("id").agg(F.collect_set("h").alias("drop"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), F.col(id_col).cast("bigint").alias("own"))

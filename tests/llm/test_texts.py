@@ -52,6 +52,32 @@ def test_line_dedup(docs):
     assert none_last(got) == none_last(brute.lines(rows))
 
 
+def files_of(spark, work):
+    """How many files work() writes to the shared folder, and its result."""
+    from pathlib import Path
+
+    from streamtable.llm import _store
+
+    folder = Path(_store.shared_folder(spark).removeprefix("file://"))
+    count = lambda: sum(1 for p in folder.rglob("part-*"))
+    before = count()
+    out = work()
+    return count() - before, out
+
+
+def test_line_dedup_starts_no_programs_for_files(spark, docs):
+    """Each file of the local file system starts a program, which counts as a second executor for a moment. Nothing is written, and what is held goes."""
+    from streamtable.llm import _store
+
+    rows, df = docs
+    _store.release()
+    files, got = files_of(spark, lambda: [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(df).collect()])
+    assert files == 0
+    assert none_last(got) == none_last(brute.lines(rows))
+    _store.release()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_filters_met_by_range(docs, monkeypatch):
     """Filters too large for a broadcast, in many ranges, each asked in several tasks."""
     monkeypatch.setattr("streamtable.llm._repeats.RANGE", 5000)

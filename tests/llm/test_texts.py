@@ -78,6 +78,14 @@ def test_line_dedup_starts_no_programs_for_files(spark, docs):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_join_writes_no_file_for_each_task(spark, docs):
+    """As many files for many tasks as for few."""
+    rows, df = docs
+    few, one = files_of(spark, lambda: sorted(map(str, jaccard_components(df.repartition(2, "text")).collect())))
+    many, other = files_of(spark, lambda: sorted(map(str, jaccard_components(df.repartition(9, "text")).collect())))
+    assert (few, one) == (many, other)
+
+
 def test_filters_met_by_range(docs, monkeypatch):
     """Filters too large for a broadcast, in many ranges, each asked in several tasks."""
     monkeypatch.setattr("streamtable.llm._repeats.RANGE", 5000)

@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from streamtable.llm import _spans, _words
 from streamtable.llm._repeats import BITS, suspected
-from streamtable.llm._store import deal, small_batches, stored
+from streamtable.llm._store import deal, held, small_batches
 
 GRAM = 16  # words
 HOT = 1 << 22  # bytes of one hash's segments that a shard takes
@@ -152,12 +152,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, test = suspected(slim, hashes, max_filter_bits)
 
     def suspects(batches):
-        held: dict[bytes, list] = {}
+        segs: dict[bytes, list] = {}
         n = 0
 
         def flush():
-            if held:
-                rows = list(held.items())
+            if segs:
+                rows = list(segs.items())
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array([r[0] for _, r in rows], pa.int64()), "seg": pa.array([k for k, _ in rows], pa.binary()), "words": pa.array([r[1] for _, r in rows], pa.binary()),
                     "least": pa.array([min(r[2]) for _, r in rows], pa.int64()), "most": pa.array([max(r[2]) for _, r in rows], pa.int64()),
@@ -173,19 +173,19 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for d, x, y, k in zip(doc[yes].tolist(), a[yes].tolist(), (b[yes] + window - 1).tolist(), key[yes].view(np.int64).tolist(), strict=True):
                     text = b" ".join(raw[w.start[x] : w.end[y]].split())
                     seg = xxhash.xxh3_128_digest(text)
-                    r = held.get(seg)
+                    r = segs.get(seg)
                     if r is None:
-                        r = held[seg] = [k, text, [], [], []]
+                        r = segs[seg] = [k, text, [], [], []]
                     r[2].append(int(ids[row + d]))
                     r[3].append(int(tags[row + d]))
                     r[4].append(x - int(w.first[d]))
                     n += 1
             if n >= 20_000:
                 yield from flush()
-                held, n = {}, 0
+                segs, n = {}, 0
         yield from flush()
 
-    found = stored(rows.mapInArrow(suspects, "key bigint, seg binary, words binary, least bigint, most bigint, ids array<bigint>, tags array<bigint>, starts array<bigint>"))
+    found = held(rows.mapInArrow(suspects, "key bigint, seg binary, words binary, least bigint, most bigint, ids array<bigint>, tags array<bigint>, starts array<bigint>"))
     def shard(batches):
         now, group = None, {}
 
@@ -216,12 +216,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def divide(step: int):
         def run(batches):
-            held: dict[bytes, list] = {}
+            segs: dict[bytes, list] = {}
             n = 0
 
             def flush():
-                if held:
-                    rows = list(held.items())
+                if segs:
+                    rows = list(segs.items())
                     yield pa.RecordBatch.from_pydict({
                         "key": pa.array([r[0] for _, r in rows], pa.int64()), "seg": pa.array([k for k, _ in rows], pa.binary()), "words": pa.array([r[1] for _, r in rows], pa.binary()), "least": pa.array([r[2] for _, r in rows], pa.int64()),
                         "most": pa.array([r[3] for _, r in rows], pa.int64()), "roots": pa.array([r[4] for _, r in rows], pa.list_(pa.binary())), "offs": pa.array([r[5] for _, r in rows], pa.list_(pa.int64()))})
@@ -231,27 +231,27 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ws = text.split(b" ")
                     for x, y, place in _spans.by_place(grams_of(text, window), len(ws) - window + 1, step):
                         part = b" ".join(ws[x : y + window])
-                        r = held.setdefault(xxhash.xxh3_128_digest(part), [xxhash.xxh3_64_intdigest(b"%d %d" % (key, place)) - (1 << 63), part, least, most, [], []])
+                        r = segs.setdefault(xxhash.xxh3_128_digest(part), [xxhash.xxh3_64_intdigest(b"%d %d" % (key, place)) - (1 << 63), part, least, most, [], []])
                         r[2], r[3] = min(r[2], least), max(r[3], most)
                         r[4].append(root)
                         r[5].append(x)
                         n += 1
                     if n >= 20_000:
                         yield from flush()
-                        held, n = {}, 0
+                        segs, n = {}, 0
             yield from flush()
 
         return run
 
     def places_of(rows: DataFrame, steps: tuple[int, ...]) -> DataFrame:
         """PLACES of recurring windows in the segments of rows (key, seg, words, least, most), of which several may be equal."""
-        hot = stored(rows.groupBy("key").agg(F.sum(F.octet_length("words")).alias("size")).where(F.col("size") > HOT).select("key"))
+        hot = held(rows.groupBy("key").agg(F.sum(F.octet_length("words")).alias("size")).where(F.col("size") > HOT).select("key"))
         usual = rows if hot.isEmpty() else rows.join(hot, "key", "left_anti")
         near = usual.repartition(deal(spark), "key").sortWithinPartitions("key").mapInArrow(shard, PLACES)
         if usual is rows:
             return near
         several = rows.join(hot, "key", "left_semi").groupBy("seg").agg(F.first("key").alias("key"), F.first("words").alias("words"), F.min("least").alias("least"), F.max("most").alias("most")).select("key", "seg", "words", "least", "most")
-        parts = stored(several.mapInArrow(divide(steps[0]), "key bigint, seg binary, words binary, least bigint, most bigint, roots array<binary>, offs array<bigint>"))
+        parts = held(several.mapInArrow(divide(steps[0]), "key bigint, seg binary, words binary, least bigint, most bigint, roots array<binary>, offs array<bigint>"))
         if steps[0] == 1:  # a window each
             whole = parts.groupBy("seg").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
             inner = whole.select("seg", F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(F.lit(window).cast("bigint")).alias("hi"), F.array("least").alias("first"))

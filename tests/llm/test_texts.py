@@ -86,6 +86,15 @@ def test_join_writes_no_file_for_each_task(spark, docs):
     assert (few, one) == (many, other)
 
 
+def test_substring_dedup_writes_no_files(spark, docs, monkeypatch):
+    """Nor where hot hashes are divided, step by step."""
+    monkeypatch.setattr("streamtable.llm.substring_dedup.HOT", 2000)
+    rows, df = docs
+    files, got = files_of(spark, lambda: none_last((r.doc_id, r.n_words, r.n_removed, r.text) for r in dedup_passages(df).collect()))
+    assert files == 0
+    assert got == none_last(brute.passages(rows, 50))
+
+
 def test_filters_met_by_range(docs, monkeypatch):
     """Filters too large for a broadcast, in many ranges, each asked in several tasks."""
     monkeypatch.setattr("streamtable.llm._repeats.RANGE", 5000)

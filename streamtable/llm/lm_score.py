@@ -43,6 +43,7 @@ HELD = 50_000  # positions, at least, that are shuffled together and then traine
 STEP = 1 << 16  # positions worked on at once
 PARTS = 64  # of a vector that is summed over tasks, each part by itself
 SLOTS = 18  # bits of a place in the vocabulary's table
+CELLS = np.arange((CLASSES + 1) * WIDTH).reshape(-1, WIDTH)  # of the classes' parameters
 
 
 class Words:
@@ -126,7 +127,7 @@ def start() -> list[np.ndarray]:
 
 
 def forward(p: list[np.ndarray], near: np.ndarray, wide: np.ndarray):
-    e = np.concatenate([p[0][near].reshape(len(near), -1), wide], axis=1)
+    e = np.concatenate([p[0].take(near, axis=0).reshape(len(near), -1), wide], axis=1)
     h = np.tanh(e @ p[1] + p[2])
     z = h @ p[3]
     z += p[4]
@@ -138,7 +139,8 @@ def forward(p: list[np.ndarray], near: np.ndarray, wide: np.ndarray):
 def log_probability(p: list[np.ndarray], near: np.ndarray, wide: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log P(class y | what the network sees)."""
     _, _, z = forward(p, near, wide)
-    return z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))
+    own = z[np.arange(len(y)), y]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))  # a sum whose order the number of rows doesn't change
 
 
 def learn(p: list[np.ndarray], squares: list[np.ndarray], near: np.ndarray, wide: np.ndarray, y: np.ndarray, rate: float = 0.05) -> None:
@@ -150,7 +152,7 @@ def learn(p: list[np.ndarray], squares: list[np.ndarray], near: np.ndarray, wide
     d[np.arange(n), y] -= np.float32(1 / n)
     back = (d @ p[3].T) * (1 - h * h)
     own = back @ p[1][: near.shape[1] * WIDTH].T
-    cell = (near.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    cell = CELLS.take(near, axis=0).ravel()
     g0 = np.bincount(cell, weights=own.ravel(), minlength=p[0].size).reshape(p[0].shape).astype(np.float32)
     for q, s, g in zip(p, squares, (g0, e.T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0)), strict=True):
         s += g * g
@@ -422,7 +424,7 @@ def score(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | None
         m = shared.value
         for batch in batches:
             n, total = [], []
-            for _, data, offs in _words.pieces(batch.column(0)):
+            for _, data, offs in _words.pieces(batch.column(0), 1 << 20):  # as before: shapes of products move the last digits
                 h, first = read(data, offs)
                 ids = m.words.ids(h)
                 value = m.within[ids]

@@ -394,3 +394,19 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
         ids = [x.doc_id for x in got]
         assert {None, 1, 2, 4} <= set(ids) and 3 not in ids  # null and empty texts stay, the document that holds an item goes
         assert ids.count(2) == 2 and len(ids) > 40
+
+
+def test_scores_are_computed_in_place():
+    """No second array of all classes, whose fresh memory took most of the time; and the scores of the plain formula."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    near, wide, y = r.integers(0, lm_score.CLASSES + 1, (4096, 2 * lm_score.SIDE)), r.normal(size=(4096, 2 * lm_score.DIMS)).astype(np.float32), r.integers(0, lm_score.CLASSES, 4096)
+    p = lm_score.start()
+    tracemalloc.start()
+    got = lm_score.log_probability(p, near, wide, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.9 * 4096 * lm_score.CLASSES * 4
+    z = np.tanh(np.concatenate([p[0][near].reshape(4096, -1), wide], axis=1).astype(float) @ p[1] + p[2]) @ p[3] + p[4]
+    assert np.allclose(got, z[np.arange(4096), y] - np.log(np.exp(z).sum(axis=1)), atol=1e-4)

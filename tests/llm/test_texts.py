@@ -86,6 +86,13 @@ def test_join_writes_no_file_for_each_task(spark, docs):
     assert (few, one) == (many, other)
 
 
+def test_join_plans_hold_no_plans_of_what_is_held(spark, docs):
+    """The driver keeps and compiles a plan for every query on a held result; its own rows are a leaf of it."""
+    rows, df = docs
+    plan = jaccard_components(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan
+
+
 def test_substring_dedup_writes_no_files(spark, docs, monkeypatch):
     """Nor where hot hashes are divided, step by step."""
     monkeypatch.setattr("streamtable.llm.substring_dedup.HOT", 2000)
@@ -230,6 +237,18 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), 299: 299, 300: 299}
 
 
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    """A small graph takes no rounds, which write files; both ways agree."""
+    r = random.Random(11)
+    edges = spark.createDataFrame([(r.randrange(400) - 200, r.randrange(400) - 200) for _ in range(260)], "a bigint, b bigint")
+    files, whole = files_of(spark, lambda: sorted(components(edges).collect()))
+    assert files == 0
+    monkeypatch.setattr("streamtable.llm._components.WHOLE", -1)
+    files, rounds = files_of(spark, lambda: sorted(components(edges).collect()))
+    assert files > 0 and whole == rounds and len({x.root for x in whole}) > 5
+    assert components(edges.where("a = b")).collect() == []
+
+
 def test_decontamination(spark, docs):
     rows, df = docs
     r = random.Random(9)

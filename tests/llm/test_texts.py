@@ -93,6 +93,19 @@ def test_join_plans_hold_no_plans_of_what_is_held(spark, docs):
     assert "InMemoryRelation" not in plan
 
 
+def test_plans_go_with_the_cache(spark, docs):
+    """What clearCache() lets go isn't kept in the driver by the list of what is held."""
+    from streamtable.llm import _store
+
+    _store.release()
+    kept = [_store.held(spark.range(k, k + 3)) for k in range(3)]
+    assert len(_store._held) == len(kept)
+    spark.catalog.clearCache()
+    again = _store.held(spark.range(9, 11))
+    assert len(_store._held) == 1 and again.count() == 2
+    _store.release()
+
+
 def test_substring_dedup_writes_no_files(spark, docs, monkeypatch):
     """Nor where hot hashes are divided, step by step."""
     monkeypatch.setattr("streamtable.llm.substring_dedup.HOT", 2000)

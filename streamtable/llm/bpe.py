@@ -5,22 +5,21 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import sys
-import types
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from streamtable.llm._store import small_batches
+from streamtable.llm._store import kept, small_batches, tidy
 
 VOCABULARY_BYTES = 64 << 20  # what is broadcast at most
-CACHE = 1 << 19  # words whose ids a Python worker remembers
+CACHE = 1 << 19  # words whose ids a Python worker remembers while it has texts to encode
 
 
 def byte_letters() -> list[str]:
@@ -155,15 +154,8 @@ class Bpe:
         return " ".join([tokens[i] for i in ids.tolist()])
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs with ids (array of int) and decoded (string) of each whole text under the vocabulary file.
-
-    keep: columns of docs to return, all unless given; columns named ids or decoded give way. Null and empty texts: no ids, "".
-    Every row is encoded alone: repeated rows, ties and very long texts are nothing special. Empty table: empty result. Special
-    tokens written out in a text become their ids, as in the library's default. Texts with letters that Python's Unicode tables
-    don't have yet are normalised and split, not merged, by the library itself. Files with other settings are refused.
-    """
-    spark = docs.sparkSession
+def encoding(spark: SparkSession, vocabulary: str, names: list[str]) -> Callable:
+    """A function for mapInArrow, from a text and then the columns names to these, ids and decoded."""
     small_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
@@ -171,13 +163,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
         raise ValueError(f"a vocabulary of over {VOCABULARY_BYTES} bytes isn't broadcast")
     checked(json.loads(spec))
     shared = spark.sparkContext.broadcast(spec)
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "decoded")]
 
     def run(batches):
-        kept = sys.modules.setdefault("_streamtable_bpe", types.ModuleType("_streamtable_bpe")).__dict__  # lasts as long as the Python worker
-        if kept.get("spec") != shared.value:
-            kept.update(spec=shared.value, bpe=Bpe(shared.value))
-        bpe = kept["bpe"]
+        bpe = kept(shared.value, lambda: Bpe(shared.value))
         for batch in batches:
             ids, decoded = [], []
             for text in batch.column(0).to_pylist():
@@ -189,13 +177,26 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())], names=[*(f"c{k}" for k in range(len(names))), "ids", "decoded"])
 
+    return run
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs with ids (array of int) and decoded (string) of each whole text under the vocabulary file.
+
+    keep: columns of docs to return, all unless given; columns named ids or decoded give way. Null and empty texts: no ids, "".
+    Every row is encoded alone: repeated rows, ties and very long texts are nothing special. Empty table: empty result. Special
+    tokens written out in a text become their ids, as in the library's default. Texts with letters that Python's Unicode tables
+    don't have yet are normalised and split, not merged, by the library itself. Files with other settings are refused.
+    """
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "decoded")]
+    run = encoding(docs.sparkSession, vocabulary, names)
     given = docs.select(F.col(text_col).alias("t"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     schema = StructType([*(StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(names)), StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
-    return given.mapInArrow(run, schema).toDF(*names, "ids", "decoded")
+    return given.mapInArrow(tidy(run, keeps=True), schema).toDF(*names, "ids", "decoded")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids if asked for, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 of encode_decode()'s rows."""
+def digesting(with_ids: bool) -> Callable:
+    """A function for mapInArrow, from an id, ids and decoded to the columns of digests()."""
     middle = ["ids"] if with_ids else []
 
     def run(batches):
@@ -206,8 +207,23 @@ def digests(encoded: DataFrame, id_col: str = "doc_id", with_ids: bool = False)
                 batch.column(0), pa.array(np.diff(offs).astype(np.int64)), *([lists] if with_ids else []), pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.string()),
                 pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in batch.column(2).to_pylist()], pa.string())], names=["doc_id", "n_tokens", *middle, "ids_sha256", "decoded_sha256"])
 
-    schema = StructType([StructField("doc_id", encoded.schema[id_col].dataType), *StructType.fromDDL(", ".join(["n_tokens bigint", *(f"{m} array<int>" for m in middle), "ids_sha256 string", "decoded_sha256 string"])).fields])
-    return encoded.select(F.col(id_col).alias("doc_id"), "ids", "decoded").mapInArrow(run, schema)
+    return run
+
+
+def digested(id_type, with_ids: bool) -> StructType:
+    return StructType([StructField("doc_id", id_type), *StructType.fromDDL("n_tokens bigint, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string").fields])
+
+
+def digests(encoded: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids if asked for, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 of encode_decode()'s rows."""
+    return encoded.select(F.col(id_col).alias("doc_id"), "ids", "decoded").mapInArrow(tidy(digesting(with_ids), keeps=True), digested(encoded.schema[id_col].dataType, with_ids))
+
+
+def encoded_digests(docs: DataFrame, vocabulary: str, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """digests() of encode_decode(), both by one Python worker: one after the other, each task has two at once."""
+    run, told = encoding(docs.sparkSession, vocabulary, [id_col]), digesting(with_ids)
+    given = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("c0"))
+    return given.mapInArrow(tidy(lambda batches: told(run(batches)), keeps=True), digested(docs.schema[id_col].dataType, with_ids))
 
 
 def default_vocabulary() -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from streamtable.llm._repeats import BITS, suspected
-from streamtable.llm._store import held, small_batches
+from streamtable.llm._store import held, small_batches, tidy
 
 BLANK = b" \t\n\x0b\x0c\r"
 SUSPECTS = "key binary, h binary, least bigint, most bigint, docs array<bigint>"
@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 seen, n = {}, 0
         yield from flush()
 
-    found = held(rows.mapInArrow(suspects, SUSPECTS))
+    found = held(rows.mapInArrow(tidy(suspects), SUSPECTS))
     sure = found.groupBy("key").agg(F.min("least").alias("keep"), F.max("most").alias("last"), F.first("h").alias("h")).where("keep < last").select("h", "keep")
     drops = found.where("size(docs) > 0").select("h", "docs").join(sure, "h").select("h", "keep", F.explode("docs").alias("id")).where("id > keep").groupBy("id").agg(F.collect_set("h").alias("drop"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), F.col(id_col).cast("bigint").alias("own"))
@@ -104,4 +104,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = StructType([*(StructField(f"c{k}", StringType() if k == at else docs.schema[k].dataType) for k in keep), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     met = whole.join(drops, whole["own"] == drops["id"], "left").select("row", "drop")
-    return met.mapInArrow(cut, schema).toDF(*(docs.columns[k] for k in keep), "n_lines", "n_dropped")
+    return met.mapInArrow(tidy(cut), schema).toDF(*(docs.columns[k] for k in keep), "n_lines", "n_dropped")

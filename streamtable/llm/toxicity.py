@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from streamtable.llm._store import small_batches, stored
+from streamtable.llm._store import small_batches, stored, tidy
 
 BITS = 18
 SAMPLE = 6_000  # labelled documents that a category's classes are fitted on, at most; half of them positive if there are as many
@@ -158,7 +158,7 @@ def fits_on(spark) -> Callable:
                 jobs = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array([fit_without(j, rows, fold, seen, y, size).tobytes() for j in jobs], pa.binary())], names=["job", "w"])
 
-        got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "job bigint, w binary").collect()
+        got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(tidy(run), "job bigint, w binary").collect()
         shared.destroy()
         return [np.frombuffer(bytes(r["w"])) for r in sorted(got, key=lambda r: r["job"])]
 
@@ -245,7 +245,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 
     met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "id", *names)
     schema = StructType([StructField("id", labels.schema[id_col].dataType), *StructType.fromDDL("x binary, " + ", ".join(f"{k} int" for k in names)).fields])
-    one = met.mapInArrow(gather, schema).groupBy("id").agg(F.min(F.struct("x", *names)).alias("m")).select("m.*")  # no more rows than chosen
+    one = met.mapInArrow(tidy(gather), schema).groupBy("id").agg(F.min(F.struct("x", *names)).alias("m")).select("m.*")  # no more rows than chosen
     rows, held = [], 0
     for r in stored(one).toLocalIterator():
         rows.append((xxhash.xxh3_64_intdigest(bytes(r["x"])), bytes(r["x"]), *(r[k] for k in names)))
@@ -291,4 +291,4 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: tuple[str
 
     given = docs.select(F.col(text_col).alias("t"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     schema = StructType([*(StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(names)), *StructType.fromDDL(", ".join([*(f"p_{c} double" for c in chain.categories), *(f"is_{c} boolean" for c in chain.categories)])).fields])
-    return given.mapInArrow(run, schema).toDF(*names, *fresh)
+    return given.mapInArrow(tidy(run), schema).toDF(*names, *fresh)

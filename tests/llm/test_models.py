@@ -1,14 +1,16 @@
 """Tokenizer, neighbours, classifiers, language model and page extraction."""
 
 import hashlib
+import os
 import random
+import subprocess
 import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streamtable.llm import bpe, html_extract, lm_score, toxicity
+from streamtable.llm import _store, bpe, html_extract, lm_score, toxicity
 from streamtable.llm.neighbours import nearest
 
 
@@ -44,6 +46,47 @@ def test_bpe_on_documents(spark, library):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), decoded)
 
 
+def test_pipeline_encodes_in_one_worker(spark):
+    """Encoding and digests one after the other take two Python workers for each task at once; the rows are the same."""
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)] + [(None, "no id")], "doc_id bigint, text string")
+    got = corpus_pipeline.encode(spark, df, "")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = bpe.digests(bpe.encode_decode(df, bpe.default_vocabulary(), keep=("doc_id",)), with_ids=True)
+    assert got.schema == want.schema and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert corpus_pipeline.encode(spark, df.limit(0), "").collect() == []
+
+
+def test_workers_keep_nothing_for_other_tasks():
+    """A vocabulary and its words last for the tasks that use them, not for as long as the Python worker."""
+    encode, other = _store.tidy(lambda batches: [_store.kept("spec", object)], keeps=True), _store.tidy(iter)
+    assert next(encode([])) is (one := next(encode([])))
+    assert list(other([1, 2])) == [1, 2] and next(encode([])) is not one
+    _store.forget()
+
+
+def test_workers_give_memory_back():
+    """What a task has freed below something that stays is no longer the process's after it."""
+    code = """
+import re
+from streamtable.llm._store import tidy
+mb = lambda: sum(map(int, re.findall(r"Pss_Anon: +(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+stay = []
+def run(batches):
+    blocks = [b"x" * 100_000 for _ in range(2000)]
+    stay.append(blocks.pop())
+    yield mb()
+before = mb()
+most, = run([])
+plain = mb()
+most, = tidy(run)([])
+print(before, plain, most, mb())
+"""
+    before, plain, most, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout.split())
+    assert most > before + 150 and plain > before + 150 and after < before + 30
+
+
 def test_bpe_of_every_code_point(library):
     """Each code point of the basic plane, and every third one beyond, beside a letter, a digit and a sign, a few of them in a text."""
     with open(bpe.default_vocabulary(), encoding="utf-8") as f:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 SIDE_BYTES = 64 << 20  # of an iterable side input, as measured; larger ones are refused
+BROADCAST_BYTES = 32 << 20  # of a side that a join broadcasts, as measured; the driver builds it and holds it some times over
+BROADCAST_SIDES = {"inner": ("right", "left"), "cross": ("right", "left"), "right": ("left",), "rightouter": ("left",), "right_outer": ("left",), "full": (), "outer": (), "fullouter": (), "full_outer": ()}  # others: the right one
 
 
 def measured_bytes(df: DataFrame, column: str) -> int:
@@ -14,6 +17,12 @@ def measured_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0)) + 8)).first()[0] or 0)
 
 
+def rows_bytes(df: DataFrame) -> int:
+    """The size of the rows of df, from a run over it: 8 bytes for each row and value, and what texts and nested values have as text."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    return int(df.agg(F.sum(sum(wide, F.lit(8 + 8 * len(df.columns)).cast("bigint")))).first()[0] or 0)
+
+
 def singleton_side_input(df: DataFrame, one: DataFrame) -> DataFrame:
     """df with the columns of a one-row collection. No row gives nulls; several are an error, found when the plan runs."""
     columns = one.columns
@@ -54,7 +63,16 @@ def co_group_by_key(sides: dict[str, tuple[DataFrame, str]], key: str, how: str
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner", strategy: str | None = None) -> DataFrame:
-    """strategy: broadcast, merge, shuffle_hash or shuffle_replicate_nl, else what Spark finds best."""
+    """strategy: broadcast, merge, shuffle_hash or shuffle_replicate_nl, else what Spark finds best.
+
+    broadcast takes the smaller of the sides that this kind of join can broadcast, if it measures BROADCAST_BYTES at most; else the join is
+    what Spark finds best. All columns count, so leave out first what the result doesn't need.
+    """
+    if strategy == "broadcast":
+        size, side = min(((rows_bytes(right if s == "right" else left), s) for s in BROADCAST_SIDES.get(how.lower(), ("right",))), key=lambda x: x[0], default=(None, None))
+        if side is None or size > BROADCAST_BYTES:
+            return left.join(right, on, how)
+        return left.join(F.broadcast(right), on, how) if side == "right" else F.broadcast(left).join(right, on, how)
     return left.join(right.hint(strategy) if strategy else right, on, how)
 
 

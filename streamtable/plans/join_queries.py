@@ -49,7 +49,7 @@ for _h, _j, _k in (("inner", "inner", "a.k"), ("left", "left", "a.k"), ("right",
 def _join(how, sql, strategy=None, name=None):
     @query(sql, name or f"join_{how}")
     def run(t, spark):
-        c, o = t(CUSTOMER), t(ORDERS)
+        c, o = t(CUSTOMER).select("c_custkey", "c_name"), t(ORDERS).select("o_orderkey", "o_custkey", "o_totalprice")
         on = c["c_custkey"] == o["o_custkey"]
         if how in ("semi", "anti"):
             return joins.equi_join(c, o, on, f"left_{how}").select("c_custkey", "c_name")

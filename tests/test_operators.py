@@ -244,3 +244,14 @@ def test_panes_take_null_elements(spark):
     df = spark.createDataFrame([("a", at(1), 5), ("a", at(2), None), ("a", at(3), None), ("a", at(4), 7)], "k string, ts timestamp, v bigint")
     out = replay.run(fire_panes(replay.staged(df, "ts", 1), ["k"], "v", "ts", "bigint", Strategy(Repeat(ElementCount(2)), DISCARDING))).orderBy("pane_index").collect()
     assert [(r.k, r.pane_index, r.value) for r in out] == [("a", 0, 5), ("a", 1, 7)]
+
+
+def test_a_join_broadcasts_only_a_side_that_measures_little(spark, monkeypatch):
+    few, many = spark.range(10).select("id", F.lit("few").alias("a")), spark.range(1000).select(F.col("id").alias("k"), F.lit("many").alias("b"))
+    plan = lambda how="inner": joins.equi_join(few, many, few["id"] == many["k"], how, "broadcast")._jdf.queryExecution().optimizedPlan().toString()
+    assert "leftHint=(strategy=broadcast)" in plan() and "rightHint" not in plan()  # the smaller side, also where the larger one stands right
+    assert "rightHint=(strategy=broadcast)" in plan("left") and "leftHint=(strategy=broadcast)" in plan("right")
+    assert "Hint" not in plan("full")
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", joins.rows_bytes(few) - 1)
+    assert "Hint" not in plan() and "Hint" not in plan("left")
+    assert joins.equi_join(few, many, few["id"] == many["k"], "inner", "broadcast").count() == 10

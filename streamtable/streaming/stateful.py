@@ -135,50 +135,94 @@ class OrderedListState:
                 self.map.remove(t)
 
 
+GLOBAL = -(1 << 63)  # the end of the global window in grouping keys: rows whose key has a null come to pandas as NaN, each a group of its own
+SHARES = 256  # of the keys; a stream that is to go on from its checkpoint must keep it
+PLAIN = (T.IntegralType, T.FractionalType, T.StringType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def shared(rows: DataFrame, keys: list[str], shares: int = SHARES) -> DataFrame:
+    """rows with a column share_ of their keys, and for each key one that tells nulls, null0_ and so on. (Names that begin with _ get lost on the way to pandas.)
+
+    A call of a stateful processor and each of its state's reads and writes cost some milliseconds, so these are for a share of the keys instead
+    of each. pandas turns whole numbers among nulls into inexact ones, so keys that are such are 0 where they are null.
+    """
+    for k, key in enumerate(keys):
+        kind = rows.schema[key].dataType
+        if not isinstance(kind, PLAIN):
+            raise TypeError(f"the key {key} has a type that isn't plain: {kind.simpleString()}")
+        rows = rows.withColumn(f"null{k}_", F.col(key).isNull())
+        if isinstance(kind, T.IntegralType):
+            rows = rows.withColumn(key, F.coalesce(key, F.lit(0).cast(kind)))
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            rows = rows.withColumn(key, F.col(key) + F.lit(0.0).cast(kind))  # -0.0 is 0.0
+    return rows.withColumn("share_", F.pmod(F.xxhash64(*keys), F.lit(shares)).cast("int"))
+
+
+def by_key(pdf: pd.DataFrame, keys: list[str], order: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Each key among rows that are shared() and, in the given order, its rows. Of a key, nulls are None and NaN is "NaN"."""
+    code = np.zeros(len(pdf), np.int64)
+    for k, key in enumerate(keys):
+        column, null = pdf[key], pdf[f"null{k}_"].to_numpy(bool)
+        own = np.where(null, -1, pd.factorize(column, use_na_sentinel=False)[0]) + 1
+        code = np.unique(code * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+    at = np.lexsort((*(pdf[c].to_numpy() for c in reversed(order)), code))
+    cut = np.flatnonzero(np.diff(code[at], prepend=-1, append=-1))
+    first = pdf.iloc[at[cut[:-1]]]
+    columns = [[None if no else "NaN" if v != v else v for v, no in zip(first[key].tolist(), first[f"null{k}_"].tolist(), strict=True)] for k, key in enumerate(keys)]
+    return zip(zip(*columns, strict=True), (at[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True)
+
+
 class Panes(StatefulProcessor):
-    """Fires the panes of a (key, window) under a strategy. The last part of the key is the window's end in milliseconds, null for the global window."""
+    """Fires the panes of the keys of a share in a window under a strategy. The key is the share and the window's end in milliseconds, GLOBAL for the global window."""
 
-    def __init__(self, strategy: Strategy, combiner: Combiner, value: str, keys: list[str], lateness: int, whole: bool):
-        self.strategy, self.combiner, self.value, self.keys, self.lateness, self.whole = strategy, combiner, value, keys, lateness, whole
+    def __init__(self, strategy: Strategy, combiner: Combiner, value: str, keys: list[str], kinds: list[T.DataType], lateness: int, whole: bool):
+        self.strategy, self.combiner, self.value, self.keys, self.kinds, self.lateness, self.whole = strategy, combiner, value, keys, kinds, lateness, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("panes", one("v", "binary"))
 
-    def _rows(self, key: tuple, panes: list[dict]) -> Iterator[pd.DataFrame]:
+    def _rows(self, key: tuple, panes: list[tuple[tuple, dict]]) -> Iterator[pd.DataFrame]:
         if panes:
-            yield pd.DataFrame({**{k: [v] * len(panes) for k, v in zip(self.keys, key, strict=True)}, **{name: [p[name] for p in panes] for name in panes[0]}})
+            names = {}
+            for k, (name, kind) in enumerate(zip(self.keys, self.kinds, strict=True)):
+                values = [of[k] for of, _ in panes]
+                if isinstance(kind, (T.FloatType, T.DoubleType)):
+                    values = [float("nan") if v == "NaN" else v for v in values]
+                names[name] = pd.Series(values, dtype=None if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else object)
+            yield pd.DataFrame({**names, "window_end": pd.Series([None if key[-1] == GLOBAL else int(key[-1])] * len(panes), dtype=object), **{name: [p[name] for _, p in panes] for name in panes[0][1]}})
 
     def _moment(self, key: tuple, timers) -> Moment:
-        return Moment(key[-1] is not None and key[-1] == key[-1] and timers.getCurrentWatermarkInMs() >= key[-1], timers.getCurrentProcessingTimeInMs())
+        return Moment(key[-1] != GLOBAL and timers.getCurrentWatermarkInMs() >= key[-1], timers.getCurrentProcessingTimeInMs())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get()
-        s = pickle.loads(held[0]) if held is not None else None
-        fresh = s is None
-        s = s or new_state(self.strategy)
+        states = pickle.loads(held[0]) if held is not None else {}
         at, panes = self._moment(key, timerValues), []
-        for pdf in rows:
-            order = np.argsort(pdf["event_order"].to_numpy(), kind="stable")
-            values = pdf[self.value].iloc[order]
-            panes += step(self.strategy, s, self.combiner, [None if v is None or v != v else int(v) if self.whole else v for v in values.tolist()], at)
-        if fresh and key[-1] is not None and key[-1] == key[-1]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        values = [None if no else int(v) if self.whole else None if v is None or v != v else v for v, no in zip(pdf[self.value].tolist(), pdf["none_"].tolist(), strict=True)]
+        for of, own in by_key(pdf, self.keys, ["event_order"]):
+            if of not in states:
+                states[of] = new_state(self.strategy)
+            panes += [(of, p) for p in step(self.strategy, states[of], self.combiner, [values[k] for k in own.tolist()], at)]
+        if held is None and key[-1] != GLOBAL:
             for t in {int(key[-1]), int(key[-1]) + self.lateness}:
                 if t > timerValues.getCurrentWatermarkInMs():
                     self.handle.registerTimer(t)
-        self.state.update((pickle.dumps(s),))
+        self.state.update((pickle.dumps(states),))
         yield from self._rows(key, panes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.state.get()
         if held is None:
             return
-        s, at = pickle.loads(held[0]), self._moment(key, timerValues)
-        panes = step(self.strategy, s, self.combiner, [], at)
-        if timerValues.getCurrentWatermarkInMs() >= int(key[-1]) + self.lateness:
-            panes += close(self.strategy, s, self.combiner)
+        states, at, panes = pickle.loads(held[0]), self._moment(key, timerValues), []
+        over = timerValues.getCurrentWatermarkInMs() >= int(key[-1]) + self.lateness
+        for of, s in states.items():
+            panes += [(of, p) for p in step(self.strategy, s, self.combiner, [], at) + (close(self.strategy, s, self.combiner) if over else [])]
+        if over:
             self.state.clear()
         else:
-            self.state.update((pickle.dumps(s),))
+            self.state.update((pickle.dumps(states),))
         yield from self._rows(key, panes)
 
 
@@ -190,14 +234,18 @@ def fire_panes(stream: DataFrame, keys: list[str], value: str, ts: str, kind: st
     """
     use_state_store(stream.sparkSession)
     timed = stream.withWatermark(ts, delay)
-    end = F.unix_millis(F.window(ts, size)["end"]) if size else F.lit(None).cast("bigint")
+    end = F.unix_millis(F.window(ts, size)["end"]) if size else F.lit(GLOBAL).cast("bigint")
     rows = timed.select(*keys, end.alias("window_end"), F.col(value).alias("element"), F.unix_micros(ts).alias("event_order"), F.col(ts).alias("event_time"))
     # rows that only advance the watermark go; naming the event time keeps this above the watermark
     rows = rows.where(F.col("event_time") < F.lit(FAR).cast("timestamp"))
     if "_mark" in stream.columns:
         rows = timed.where(~F.col("_mark") & F.col(ts).isNotNull() & (F.col(ts) < F.lit(FAR).cast("timestamp"))).select(*keys, end.alias("window_end"), F.col(value).alias("element"), F.unix_micros(ts).alias("event_order"), F.col(ts).alias("event_time"))
-    schema = StructType([*[f for f in rows.schema if f.name in (*keys, "window_end")], *StructType.fromDDL(f"value {kind}, retraction boolean, is_first boolean, is_last boolean, timing string, pane_index int, on_time_index int").fields])
-    return rows.groupBy(*keys, "window_end").transformWithStateInPandas(Panes(strategy, combiner or Combiner(), "element", [*keys, "window_end"], lateness_ms, isinstance(rows.schema["element"].dataType, T.IntegralType)), schema, "Append", "EventTime")
+    kinds, whole = [rows.schema[k].dataType for k in keys], isinstance(rows.schema["element"].dataType, T.IntegralType)
+    schema = StructType([*(T.StructField(k, t) for k, t in zip(keys, kinds, strict=True)), *StructType.fromDDL(f"window_end bigint, value {kind}, retraction boolean, is_first boolean, is_last boolean, timing string, pane_index int, on_time_index int").fields])
+    rows = shared(rows.withColumn("none_", F.col("element").isNull()), keys)
+    if whole:
+        rows = rows.withColumn("element", F.coalesce("element", F.lit(0).cast(rows.schema["element"].dataType)))
+    return rows.groupBy("share_", "window_end").transformWithStateInPandas(Panes(strategy, combiner or Combiner(), "element", keys, kinds, lateness_ms, whole), schema, "Append", "EventTime")
 
 
 class CountInBag(StatefulProcessor):

@@ -255,3 +255,20 @@ def test_a_join_broadcasts_only_a_side_that_measures_little(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", joins.rows_bytes(few) - 1)
     assert "Hint" not in plan() and "Hint" not in plan("left")
     assert joins.equi_join(few, many, few["id"] == many["k"], "inner", "broadcast").count() == 10
+
+
+def test_panes_keep_state_for_shares_of_the_keys(spark):
+    from streamtable.streaming import replay
+    from streamtable.streaming.stateful import SHARES, fire_panes
+    from streamtable.streaming.triggers import DISCARDING, ElementCount, Repeat, Strategy
+
+    big = (1 << 53) + 1
+    keys = [(None, None), (big, None), (big, "x"), (None, "x"), (0, ""), (-1, "y"), *((k, "z") for k in range(300))]
+    df = spark.createDataFrame([(a, b, v, at(m)) for a, b in keys for m, v in enumerate([big, None, 1])], "a bigint, b string, v bigint, ts timestamp")
+    panes = fire_panes(replay.staged(df, "ts", 1, flush=False), ["a", "b"], "v", "ts", "bigint", Strategy(Repeat(ElementCount(3)), DISCARDING))
+    rows = []
+    query = panes.writeStream.foreachBatch(lambda out, _: rows.extend(out.collect())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(((r.a, r.b) for r in rows), key=repr) == sorted(keys, key=repr)
+    assert {(r.window_end, r.value, r.pane_index) for r in rows} == {(None, big + 1, 0)}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= SHARES

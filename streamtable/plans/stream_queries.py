@@ -9,7 +9,7 @@ from streamtable.operators.windows import FixedWindows, Sessions, SlidingWindows
 from streamtable.plans.registry import query
 from streamtable.plans.window_queries import _SESSIONS
 from streamtable.streaming import replay
-from streamtable.streaming.stateful import CountInBag, LastAndCounts, Quiet, fire_panes
+from streamtable.streaming.stateful import CountInBag, LastAndCounts, Quiet, fire_panes, shared
 from streamtable.streaming.triggers import ACCUMULATING, DISCARDING, RETRACTING, AfterEndOfWindow, ElementCount, Repeat, Strategy
 
 
@@ -60,10 +60,8 @@ def stream_state_bag(t, spark):
     select user_id, min(ts) as start_ms, max(ts) + 1800000 as end_ms, count(*) as n from numbered group by user_id, s""")
 def stream_timer(t, spark):
     replay.use_state_store(spark)
-    stream = _events(t).withWatermark("ts", "0 seconds").select("user_id", "event_id", F.unix_millis("ts").alias("millis"), "ts").where("user_id is not null or event_id is null")
-    stream = stream.withColumn("user_id", F.coalesce("user_id", F.lit(-1).cast("bigint"))).withColumn("event_id", F.coalesce("event_id", F.lit(-1).cast("bigint")))
-    out = replay.run(stream.groupBy("user_id").transformWithStateInPandas(Quiet(1_800_000), "user_id bigint, start_ms bigint, end_ms bigint, n bigint", "Append", "EventTime"))
-    return out.where("user_id >= 0")
+    stream = _events(t).withWatermark("ts", "0 seconds").select("user_id", F.unix_millis("ts").alias("millis"), "ts").where(F.col("ts") < F.lit(replay.FAR).cast("timestamp"))
+    return replay.run(shared(stream, ["user_id"]).groupBy("share_").transformWithStateInPandas(Quiet(1_800_000), "user_id bigint, start_ms bigint, end_ms bigint, n bigint", "Append", "EventTime"))
 
 
 @query("""select a.event_id, b.event_id as click_id from events a join events b on a.user_id = b.user_id and b.ts between a.ts and a.ts + interval 2 hours

@@ -281,39 +281,53 @@ class LastAndCounts(StatefulProcessor):
 
 
 class Quiet(StatefulProcessor):
-    """Sessions by timer: the elements of a key are kept in time order until the key has been quiet for a gap."""
+    """Sessions by timer: the times of the keys of a share are kept, in order, until a key has been quiet for a gap. One timer stands for the session that ends first."""
+
+    KEPT = ["null0_", "user_id", "millis"]
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
 
     def init(self, handle):
-        self.handle, self.held = handle, OrderedListState(handle, "held", "bigint")
-
-    def _closed(self, key, until: int) -> Iterator[pd.DataFrame]:
-        """Sessions that end at or before until."""
-        rows, run = [], []
-        for t, v in [*self.held.read(), (None, None)]:
-            if run and (t is None or t >= run[-1] + self.gap):
-                if run[-1] + self.gap > until:
-                    break
-                rows.append((key[0], run[0], run[-1] + self.gap, len(run)))
-                self.held.clear(run[0], run[-1] + 1)
-                run = []
-            if t is not None:
-                run.append(t)
-        if rows:
-            yield pd.DataFrame(rows, columns=["user_id", "start_ms", "end_ms", "n"])
+        self.handle, self.state = handle, handle.getValueState("held", one("v", "binary"))
 
-    def handleInputRows(self, key, rows, timerValues):
-        for pdf in rows:
-            for t, i in zip(pdf["millis"].tolist(), pdf["event_id"].tolist(), strict=True):
-                self.held.add(t, i)
+    def _held(self) -> list[np.ndarray]:
+        held = self.state.get()
+        return pickle.loads(held[0]) if held is not None else []
+
+    def _sessions(self, kept: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first row of each session, where the last one ends, and when each session ends."""
+        null, user, millis = kept
+        new = np.ones(len(user), bool)
+        new[1:] = (null[1:] != null[:-1]) | (user[1:] != user[:-1]) | (millis[1:] >= millis[:-1] + self.gap)
+        cut = np.append(np.flatnonzero(new), len(user))
+        return cut[:-1], cut[1:], millis[cut[1:] - 1] + self.gap
+
+    def _keep(self, kept: list[np.ndarray]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        times = [t for t, _ in self.held.read()]
-        if times:
-            self.handle.registerTimer(max(times) + self.gap)
+        if len(kept[0]):
+            self.handle.registerTimer(int(self._sessions(kept)[2].min()))
+            self.state.update((pickle.dumps(kept),))
+        else:
+            self.state.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True)
+        fresh = [pdf[c].to_numpy(t) for c, t in zip(self.KEPT, (bool, np.int64, np.int64), strict=True)]
+        held = self._held()
+        kept = [np.concatenate(x) for x in zip(held, fresh, strict=True)] if held else fresh
+        order = np.lexsort(kept[::-1])
+        self._keep([x[order] for x in kept])
         yield pd.DataFrame([], columns=["user_id", "start_ms", "end_ms", "n"]).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._closed(key, timerValues.getCurrentWatermarkInMs())
+        kept = self._held()
+        if not kept:
+            return
+        first, after, end = self._sessions(kept)
+        over = end <= timerValues.getCurrentWatermarkInMs()
+        self._keep([x[~np.repeat(over, after - first)] for x in kept])
+        if over.any():
+            users = [None if no else u for no, u in zip(kept[0][first[over]].tolist(), kept[1][first[over]].tolist(), strict=True)]
+            yield pd.DataFrame({"user_id": pd.Series(users, dtype=object), "start_ms": kept[2][first[over]], "end_ms": end[over], "n": (after - first)[over]})

@@ -272,3 +272,12 @@ def test_panes_keep_state_for_shares_of_the_keys(spark):
     assert sorted(((r.a, r.b) for r in rows), key=repr) == sorted(keys, key=repr)
     assert {(r.window_end, r.value, r.pane_index) for r in rows} == {(None, big + 1, 0)}
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= SHARES
+
+
+def test_sessions_by_timer_of_users_without_id_and_below_zero(spark, tmp_path):
+    from streamtable.plans.catalogue import QUERIES
+
+    df = spark.createDataFrame([(k, at(m), u, "view", 1.0) for k, (u, m) in enumerate([(None, 0), (None, 29), (None, 59), (-5, 1), (-5, 2), (7, 0), (7, 30)])], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r.user_id, (r.end_ms - r.start_ms) // 60_000, r.n) for r in QUERIES["stream_timer"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 59, 2), (None, 30, 1), (-5, 31, 2), (7, 30, 1), (7, 30, 1)], key=repr)
